@@ -59,10 +59,26 @@ def layers(texts: Sequence[str]) -> list[list[str]]:
     return groups
 
 
+def _prefix_tree(words: Sequence[str]) -> str:
+    """Alternation factored by common prefixes, longest continuation first."""
+    tails: dict[str, list[str]] = {}
+    for word in words:
+        if word:
+            tails.setdefault(word[0], []).append(word[1:])
+    if not tails:
+        return ""
+    body = "|".join(quote(head) + _prefix_tree(rest) for head, rest in sorted(tails.items()))
+    if "" in words:
+        return f"(?:{body})?"
+    return body if len(tails) == 1 else f"(?:{body})"
+
+
 def bounded(texts: Sequence[str]) -> str:
-    body = "|".join(quote(t) for t in texts)
+    """Pattern for any of the texts between word boundaries; the first-letter check comes first
+    because it rejects most positions."""
     edge = f"[A-Z0-9{WORD_MASK}]"
-    return f"(?<!{edge})(?:{body})(?!{edge})"
+    heads = "".join(sorted({quote(t[0]) for t in texts}))
+    return f"(?=[{heads}])(?<!{edge})(?:{_prefix_tree(list(texts))})(?!{edge})"
 
 
 def scan(text: Column, pattern: str) -> Column:

@@ -116,9 +116,11 @@ def exact_pattern(value: Column | str) -> Column:
 def unescape_jsonish(value: Column | str) -> Column:
     """undo one layer of JSON escaping left inside a quoted value."""
     c = col(value)
+    plain = c
     for mark, char in (("n", "\n"), ("r", "\r"), ("t", "\t")):
-        c = F.regexp_replace(c, "(?<!\\\\)((?:\\\\\\\\)*)\\\\" + mark, "$1" + char)
-    return F.regexp_replace(c, "\\\\([\"'\\\\])", "$1")
+        plain = F.regexp_replace(plain, "(?<!\\\\)((?:\\\\\\\\)*)\\\\" + mark, "$1" + char)
+    plain = F.regexp_replace(plain, "\\\\([\"'\\\\])", "$1")
+    return F.when(F.contains(c, F.lit("\\")), plain).otherwise(c)
 
 
 def lookup(table: dict, key: Column) -> Column:

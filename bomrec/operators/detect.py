@@ -49,7 +49,8 @@ def finish_value(text: Column, vocabulary: Vocabulary) -> Column:
 def standard_hits(folded: Column, vocabulary: Vocabulary) -> Column:
     """Standard designations; every family starts at its own keyword, so only added aliases can
     overlap a designation and then the longest span wins."""
-    hits = S.scan(folded, "|".join(pattern for pattern, _ in T.STANDARD_PATTERNS.values()))
+    families = "|".join(pattern for pattern, _ in T.STANDARD_PATTERNS.values())
+    hits = S.scan(folded, f"(?=[DMIAE])(?:{families})")
     added = list(Vocabulary.scanned(vocabulary.standard_aliases))
     return S.claim_longest(F.concat(hits, S.find_texts(folded, added))) if added else hits
 
@@ -120,7 +121,7 @@ def resolve_standard(raw: Column, vocabulary: Vocabulary) -> Column:
 def measure_hits(folded: Column) -> Column:
     """measure designations that really parse as one."""
     hits = F.transform(
-        S.scan(folded, M.MEASURE_SCAN),
+        S.scan(folded, f"(?=[M0-9])(?:{M.MEASURE_SCAN})"),
         lambda h: F.struct(F.trim(h["text"]).alias("text"), h["start"].alias("start"), h["end"].alias("end")),
     )
     # Every scanned shape parses except a metric zero.

@@ -40,12 +40,14 @@ def _loose_pattern(folded_needle: Column) -> Column:
     return F.concat_ws("\\s*", F.transform(letters, X.escape_pattern))
 
 
-def locate(source: Column, folded: Column, evidence: Column, start: Column) -> Column:
+def locate(
+    source: Column, folded: Column, evidence: Column, start: Column, verbatim: bool = False
+) -> Column:
     """Where literal evidence sits in a row, from exact to white-space-insensitive.
 
     Struct of start and end (source offsets, null when only the loose match holds on text whose
     folding moved offsets), anchor and anchor_end (offsets in the folded text) and found. Null or
-    blank evidence counts as found without a span.
+    blank evidence counts as found without a span. ``verbatim`` evidence is already folded text.
     """
     same_length = F.length(source) == F.length(folded)
 
@@ -72,6 +74,8 @@ def locate(source: Column, folded: Column, evidence: Column, start: Column) -> C
 
         return X.let(span, lambda s: X.let(in_folded, lambda f: X.let(loose, lambda lo: result(s, f, lo))))
 
+    if verbatim:
+        return X.let(evidence, lambda n: search(n, n))
     no_span = F.lit(None).cast("int")
     nothing = F.struct(
         no_span.alias("start"), no_span.alias("end"), no_span.alias("anchor"),
@@ -104,18 +108,18 @@ def multiplicity(folded: Column, name_start: Column) -> Column:
     punctuation, a connector word or the start of the row, so a standard's number never counts.
     """
     begin = F.greatest(name_start - T.COUNT_WINDOW, F.lit(0))
-    window = F.substring(folded, begin + 1, name_start - begin)
+    window = F.when(name_start > 0, F.substring(folded, begin + 1, name_start - begin))
 
     def read(before: Column) -> Column:
         digits = F.when(name_start <= T.COUNT_WINDOW, F.regexp_extract(before, COUNT_AT_START, 1)).otherwise(
             F.regexp_extract(before, COUNT_INSIDE, 1)
         )
         return X.let(
-            digits,
-            lambda d: F.when(
-                d.try_cast("int") >= 1,
+            F.nullif(digits, F.lit("")).try_cast("int"),
+            lambda count: F.when(
+                count >= 1,
                 F.struct(
-                    d.try_cast("int").alias("value"),
+                    count.alias("value"),
                     F.trim(F.regexp_extract(before, "\\d+[^\\d]*$", 0)).alias("evidence"),
                 ),
             ),
@@ -147,7 +151,7 @@ def read_with_tables(
     source, folded, names = F.col(text), F.col("folded"), F.col("names")
 
     def advance(acc: Column, n: Column) -> Column:
-        where = locate(source, folded, n["text"], acc["cursor"])
+        where = locate(source, folded, n["text"], acc["cursor"], verbatim=True)
         return X.let(
             where,
             lambda w: F.struct(
@@ -198,11 +202,11 @@ def read_with_tables(
             for attribute, hits in owned.items():
                 raw = first_owned(hits)
                 if trace:
-                    span = locate(source, folded, raw, F.coalesce(place["start"], F.lit(0)))
+                    span = locate(source, folded, raw, F.coalesce(place["start"], F.lit(0)), verbatim=True)
                     out += [
                         raw.alias(f"{attribute}_raw"),
-                        F.when(raw.isNotNull(), span["start"]).alias(f"{attribute}_start"),
-                        F.when(raw.isNotNull(), span["end"]).alias(f"{attribute}_end"),
+                        span["start"].alias(f"{attribute}_start"),
+                        span["end"].alias(f"{attribute}_end"),
                     ]
                 else:
                     out += [

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bomrec.functions import closed_tables as T
 from bomrec.functions import measure as M
 from bomrec.functions import text as X
+from bomrec.operators import detect as D
 from bomrec.operators import normalize as N
 from bomrec.operators.catalog import Vocabulary
 
@@ -142,7 +143,7 @@ def _element_lines(exploded: DataFrame, v: Vocabulary, carried: list[str]) -> Da
                 e["rejected"] & e["quality_raw"].isNull() & (p["rejected_measure_as_quality"] != "off"),
                 N.resolve_quality(e["measure_raw"], v),
             ),
-            "std": _standard(e["standard_raw"], v),
+            "std": F.when(e["standard_raw"].isNotNull(), D.resolve_standard(e["standard_raw"], v)),
             "mat": N.resolve_material(e["material_raw"], v),
         }
     )
@@ -230,9 +231,8 @@ def _element_lines(exploded: DataFrame, v: Vocabulary, carried: list[str]) -> Da
     doubtful = ln["implausible"] | ((p["unitless_length"] == "review") & (ln["basis"] == "plausibility"))
     length_from = F.when(e["length_raw"].isNotNull(), e["length_start"]).otherwise(F.col("measure_start"))
     length_to = F.when(e["length_raw"].isNotNull(), e["length_end"]).otherwise(F.col("measure_end"))
-    row_finish = F.col("f_finish").isNotNull() & (F.col("f_i") != F.col("pos")) & fin["finish"].isNull()
-    row_finish = F.coalesce(row_finish, F.col("f_finish").isNotNull() & (F.col("f_i") != F.col("pos")))
-    scoped = F.coalesce(row_finish & fin["finish"].isNull(), F.lit(False))
+    elsewhere = F.col("f_finish").isNotNull() & (F.col("f_i") != F.col("pos"))
+    scoped = F.coalesce(elsewhere & fin["finish"].isNull(), F.lit(False))
     whole_set = scoped & (p["finish_set_scope"] == "whole_set")
     unstated = scoped & (p["finish_set_scope"] == "review")
     own_finish_rule = (
@@ -306,12 +306,6 @@ def _element_lines(exploded: DataFrame, v: Vocabulary, carried: list[str]) -> Da
     ).withColumn("status", line_status(F.col("reasons")))
 
 
-def _standard(raw: Column, v: Vocabulary) -> Column:
-    from bomrec.operators.detect import resolve_standard
-
-    return F.when(raw.isNotNull(), resolve_standard(raw, v))
-
-
 def _attribute_columns() -> list[Column]:
     out = []
     for a in T.ATTRIBUTES:

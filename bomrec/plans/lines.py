@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from bomrec.operators import reader, score, validate
 from bomrec.operators.catalog import Vocabulary
@@ -26,3 +27,30 @@ def rows_to_lines(
     else:
         read = reader.read_with_responses(rows, responses, vocabulary, key=keys[0])
     return score.scored(validate.lines(read, vocabulary, policies, keys))
+
+
+def repeated_rows_to_lines(
+    rows: DataFrame,
+    vocabulary: Vocabulary | None = None,
+    policies: dict[str, str] | None = None,
+    keys: tuple[str, ...] = ("row_ref",),
+) -> DataFrame:
+    """``rows_to_lines`` for inputs that repeat texts, such as many revisions of one file.
+
+    Every attribute and reason depends only on the text and on whether a quantity is stated, so each
+    distinct pair is read once (map-side distinct) and joined back by an equi-join that adaptive
+    execution broadcasts when small and splits when one text dominates.
+    """
+    stated = F.col("quantity").isNotNull()
+    texts = rows.select("source_text", stated.alias("has_quantity")).distinct()
+    unit = texts.withColumn("quantity", F.when(F.col("has_quantity"), F.lit(1.0)))
+    read = rows_to_lines(unit, vocabulary, policies, keys=("source_text", "has_quantity"), trace=True)
+    read = read.withColumnRenamed("quantity", "per_unit")
+    out = rows.withColumn("has_quantity", stated).join(read, ["source_text", "has_quantity"])
+    suffix = F.substring_index("line_id", ".", -1)
+    return out.select(
+        *keys,
+        F.concat(F.col(keys[0]).cast("string"), F.lit("."), suffix).alias("line_id"),
+        *[c for c in read.columns if c not in ("source_text", "has_quantity", "line_id", "per_unit")],
+        (F.col("quantity") * F.col("per_unit")).alias("quantity"),
+    )
