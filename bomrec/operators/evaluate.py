@@ -23,15 +23,18 @@ def align(gold: DataFrame, system: DataFrame) -> DataFrame:
 
     def ranked(lines: DataFrame, tag: str) -> DataFrame:
         row = Window.partitionBy("row_ref")
-        name = X.compare_key("name")
+        name = Window.partitionBy("row_ref", "name_key")
         return lines.select(
             "row_ref",
+            "position",
+            F.coalesce(X.compare_key("name"), F.lit("")).alias("name_key"),
+            F.struct(*lines.columns).alias(tag),
+        ).select(
+            "row_ref", "name_key", tag,
             F.row_number().over(row.orderBy("position")).alias("pos"),
-            F.row_number().over(Window.partitionBy("row_ref", "name_key").orderBy("position")).alias("k"),
+            F.row_number().over(name.orderBy("position")).alias("k"),
             F.count(F.lit(1)).over(row).alias(f"n_{tag}"),
-            "name_key",
-            F.struct(*[c for c in lines.columns if c != "name_key"]).alias(tag),
-        ) if "name_key" in lines.columns else ranked(lines.withColumn("name_key", F.coalesce(name, F.lit("\u0000"))), tag)
+        )
 
     g, s = ranked(gold, "g"), ranked(system, "s")
     counts = (
@@ -44,7 +47,7 @@ def align(gold: DataFrame, system: DataFrame) -> DataFrame:
         by_position = F.col("by_position")
         return side.join(counts, "row_ref").select(
             "row_ref", tag,
-            F.when(by_position, F.lit("")).otherwise(F.col("name_key")).alias("pair_name"),
+            F.when(~by_position, F.col("name_key")).otherwise(F.lit("*")).alias("pair_name"),
             F.when(by_position, F.col("pos")).otherwise(F.col("k")).alias("pair_k"),
         )
 
