@@ -288,14 +288,13 @@ def _element_lines(exploded: DataFrame, v: Vocabulary, carried: list[str]) -> Da
             .otherwise("extracted"),
         }
     )
-    return own.select(
-        *carried,
+    line = F.struct(
         F.concat(
             F.col(carried[0]).cast("string"), F.lit("."),
             F.coalesce("special", (F.col("pos") + 1).cast("string")),
         ).alias("line_id"),
         F.coalesce(F.col("pos") + 1, F.lit(0)).alias("position"),
-        F.when(special, F.lit(None).cast("string")).otherwise(e["role"]).alias("role"),
+        F.when(~special, e["role"]).alias("role"),
         F.coalesce(e["multiplicity"], F.lit(1)).alias("multiplicity"),
         F.col("quantity_out").alias("quantity"),
         "quantity_prov",
@@ -303,7 +302,10 @@ def _element_lines(exploded: DataFrame, v: Vocabulary, carried: list[str]) -> Da
         _reasons(special).alias("reasons"),
         _policies(special).alias("policies_applied"),
         "quality_group",
-    ).withColumn("status", line_status(F.col("reasons")))
+    )
+    # The generator keeps filters on line columns above it: pushed further down, they would be
+    # expanded into the whole rule set, once per reference.
+    return own.select(*carried, F.inline(F.array(line))).withColumn("status", line_status(F.col("reasons")))
 
 
 def _attribute_columns() -> list[Column]:
