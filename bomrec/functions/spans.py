@@ -81,9 +81,12 @@ def bounded(texts: Sequence[str]) -> str:
     return f"(?=[{heads}])(?<!{edge})(?:{_prefix_tree(list(texts))})(?!{edge})"
 
 
-def scan(text: Column, pattern: str) -> Column:
+def scan(text: Column, pattern: str | Column) -> Column:
     """All leftmost, non-overlapping matches of a pattern with their 0-based span."""
-    pieces = F.split(F.regexp_replace(text, f"({pattern})", f"{FENCE}$1{FENCE}"), FENCE, -1)
+    if isinstance(pattern, str):
+        pattern = F.lit(pattern)
+    grouped = F.concat(F.lit("("), pattern, F.lit(")"))
+    pieces = F.split(F.regexp_replace(text, grouped, F.lit(f"{FENCE}$1{FENCE}")), FENCE, -1)
     start = F.struct(
         F.lit(0).alias("pos"), F.lit(False).alias("inside"), F.array().cast(HIT_TYPE).alias("hits")
     )

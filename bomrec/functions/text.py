@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Unicode white space, spelled out because Java's \s only covers ASCII.
@@ -139,3 +139,13 @@ def strings(values) -> Column:
 def collapse_key(*parts: Column) -> Column:
     """Join nullable parts with the unit separator; null counts as empty."""
     return F.concat_ws("\u001f", *[F.coalesce(p, F.lit("")) for p in parts])
+
+
+def computed_once(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Pass derived columns through a one-record generator.
+
+    Filters and generators above would otherwise be pushed below and expand the definitions of these
+    columns, which share sub-expressions many levels deep, once per reference.
+    """
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.inline(F.array(F.struct(*columns))))

@@ -236,53 +236,43 @@ def undetected_rows(hits: DataFrame, key: str, detector: str) -> DataFrame:
 
 
 def find_aliases_join(rows: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
-    """J1 as an equi-join: word-start substrings of every alias length against the alias table.
+    """J1 for alias tables (alias, value, ord) of any size, with equi-joins only.
 
-    ``aliases`` (alias, value, ord). No cross product and nothing broadcast by hint: the join key is
-    the candidate string itself. The overlap decision is local to one row's candidates.
+    A row's distinct tokens meet the first token of every alias, so only aliases that can occur come
+    back to the row's text, where their word-bounded positions are found. Overlaps are then resolved
+    inside clusters of touching candidates, which stay small however long the text is.
     """
     table = aliases.withColumn("needle", X.fold("alias")).filter("needle <> ''")
-    table = table.groupBy("needle").agg(F.min_by(F.struct("alias", "value"), "ord").alias("a"), F.min("ord").alias("ord"))
-    lengths = table.select(F.length("needle").alias("len")).distinct()
-    texts = rows.select(F.col(key), X.fold(text).alias("folded"))
-    sizes = lengths.agg(F.sort_array(F.collect_set("len")).alias("sizes"))  # one small row: distinct lengths
-    starts = texts.crossJoin(F.broadcast(sizes)).select(
-        key, "folded", "sizes",
-        F.explode(
-            F.filter(
-                F.sequence(F.lit(1), F.greatest(F.length("folded"), F.lit(1))),
-                lambda i: F.when(i == 1, F.lit(True)).otherwise(
-                    ~F.substring(F.col("folded"), i - 1, F.lit(1)).rlike("[A-Z0-9]")
-                ),
-            )
-        ).alias("start"),
-    )
-    candidates = starts.select(key, "folded", "start", F.explode("sizes").alias("len")).select(
-        key, (F.col("start") - 1).alias("start"), (F.col("start") - 1 + F.col("len")).alias("end"),
-        F.substring(F.col("folded"), F.col("start"), F.col("len")).alias("needle"),
-        F.substring(F.col("folded"), F.col("start") + F.col("len"), F.lit(1)).alias("after"),
+    table = table.groupBy("needle").agg(
+        F.min_by(F.struct("alias", "value"), "ord").alias("a"), F.min("ord").alias("ord")
     )
-    found = candidates.filter(~F.col("after").rlike("[A-Z0-9]")).join(table, "needle").filter(
-        F.length("needle") == F.col("end") - F.col("start")
+    head = F.regexp_extract("needle", "[A-Z0-9]+", 0)
+    heads = table.select("needle", "ord", head.alias("token"))
+    texts = rows.select(F.col(key), X.fold(text).alias("folded"))
+    tokens = texts.select(
+        key, F.explode(F.array_union(F.split("folded", "[^A-Z0-9]+"), F.array(F.lit("")))).alias("token")
     )
-    per_row = found.groupBy(key).agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct((F.col("start") - F.col("end")).alias("rank"), "ord", "start", "end",
-                         F.col("needle").alias("text"))
-            )
-        ).alias("c")
+    possible = tokens.join(heads, "token").select(key, "needle", "ord")
+    pattern = F.concat(F.lit("(?<![A-Z0-9])"), X.escape_pattern(F.col("needle")), F.lit("(?![A-Z0-9])"))
+    candidates = (
+        texts.join(possible, key)
+        .filter(F.contains("folded", F.col("needle")))
+        .select(key, "needle", "ord", F.inline(S.scan(F.col("folded"), pattern)))
     )
-    kept = per_row.select(
-        key,
-        F.explode(
-            S.claim_longest(F.transform("c", lambda h: F.struct(h["text"], h["start"], h["end"])))
-        ).alias("h"),
+    before = Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    opens = F.coalesce((F.max("end").over(before) <= F.col("start")).cast("int"), F.lit(1))
+    clustered = candidates.withColumn("opens", opens).withColumn("cluster", F.sum("opens").over(upto))
+    ranked = F.array_sort(F.collect_list(F.struct("ord", "start", "text", "end")))
+    kept = clustered.groupBy(key, "cluster").agg(
+        S.claim_longest(
+            F.transform(ranked, lambda h: F.struct(h["text"].alias("text"), h["start"].alias("start"), h["end"].alias("end")))
+        ).alias("h")
     )
-    values = table.select(F.col("needle").alias("text"), F.col("a.alias").alias("alias"), F.col("a.value").alias("value"))
-    return kept.select(key, "h.text", "h.start", "h.end").join(values, "text").select(
-        key, "alias", "value", "start", "end"
+    values = table.select(
+        F.col("needle").alias("text"), F.col("a.alias").alias("alias"), F.col("a.value").alias("value")
     )
+    return kept.select(key, F.inline("h")).join(values, "text").select(key, "alias", "value", "start", "end")
 
 
 def exact_alias(values: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
@@ -295,7 +285,3 @@ def exact_alias(values: DataFrame, column: str, aliases: DataFrame) -> DataFrame
         .select("needle", F.col("a.alias").alias("alias"), F.col("a.value").alias("value"), F.col("a.source").alias("alias_source"))
     )
     return values.withColumn("needle", X.fold(column)).join(table, "needle", "left").drop("needle")
-
-
-def first_hit_rank(hits: DataFrame, keys: list[str]) -> DataFrame:
-    return hits.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy("start")))

@@ -220,10 +220,9 @@ def read_with_tables(
     def name_or_null(text_: Column) -> Column:
         return D.name_value(text_, v)
 
+    read = hit_rows.withColumn("placed", placed).withColumn("elements", F.transform("names", element))
     return (
-        hit_rows.withColumn("placed", placed)
-        .withColumn("elements", F.transform("names", element))
-        .drop("placed")
+        X.computed_once(read.drop("placed"), ["elements"])
         .withColumns(
             {
                 "out_of_family": F.lit(False),
@@ -340,7 +339,7 @@ def read_with_responses(
         contradicted,
         F.array(audit(F.lit("(row)"), F.lit("(out of family contradicted by the table)"), D.name_value(F.get(names, F.lit(0))["text"], v))),
     ).otherwise(F.array().cast(AUDIT_TYPE))
-    return read.select(
+    answered = read.select(
         *[c for c in joined.columns if c not in ("elements", "out_of_family", "out_of_family_reason", "error")],
         F.when(skipped, F.array().cast(f"array<{ELEMENT_TYPE}>")).otherwise(F.col("checked.out")).alias("elements"),
         (claimed_out & ~contradicted & ~skipped).alias("out_of_family"),
@@ -352,6 +351,10 @@ def read_with_responses(
         .alias("unverifiable"),
         F.when(skipped, "none").otherwise(D.reader_tier(names, v)).alias("tier"),
     )
+    return X.computed_once(
+        answered,
+        ["elements", "out_of_family", "out_of_family_reason", "read_error", "skipped", "unverifiable", "tier"],
+    )
 
 
 def _response_elements() -> str:

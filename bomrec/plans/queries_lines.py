@@ -393,7 +393,7 @@ def _(spark, sf):
 
 _ALIASES = {k: a.value for k, a in Vocabulary.scanned(V.names).items()}
 # Doubling every separator lets neighbouring matches share none of them.
-_SPREAD = "regexp_replace(replace(upper(strip_accents({})), 'ß', 'SS'), '([^A-Z0-9])', '\\1\\1', 'g')"
+_SPREAD = "regexp_replace(upper(strip_accents(replace({}, 'ß', 'ss'))), '([^A-Z0-9])', '\\1\\1', 'g')"
 
 
 def _scan_check(table: str, key: str, text: str) -> str:
@@ -428,7 +428,7 @@ def _(spark, sf):
     "J1_alias_join_documents",
     lens.sql(
         "WITH words AS (SELECT DISTINCT upper(w) AS word FROM (SELECT unnest(string_split(text, ' ')) AS w FROM {benchmark}) AS s WHERE regexp_full_match(w, '[a-z]{{7,}}')), "
-        "tokens AS (SELECT doc_id, unnest(string_split_regex(replace(upper(strip_accents(text)), 'ß', 'SS'), '[^A-Z0-9]+')) AS word FROM {documents}) "
+        "tokens AS (SELECT doc_id, unnest(string_split_regex(upper(strip_accents(replace(text, 'ß', 'ss'))), '[^A-Z0-9]+')) AS word FROM {documents}) "
         "SELECT doc_id, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT word) AS BIGINT) AS n_aliases FROM tokens JOIN words USING (word) GROUP BY doc_id"
     ),
 )
@@ -565,7 +565,7 @@ def _(spark, sf):
     return x.withColumn("r", M.resolve_length(F.col("raw"), F.col("system"), F.col("mm"))).select("k", "r.unit", "r.basis")
 
 
-@query("F1_fold", lens.sql("SELECT doc_id, md5(trim(regexp_replace(replace(upper(strip_accents(text)), 'ß', 'SS'), '\\s+', ' ', 'g'))) AS folded FROM {documents}"))
+@query("F1_fold", lens.sql("SELECT doc_id, md5(trim(regexp_replace(upper(strip_accents(replace(text, 'ß', 'ss'))), '\\s+', ' ', 'g'))) AS folded FROM {documents}"))
 def _(spark, sf):
     return lens.frame(spark, sf, "SELECT doc_id, text FROM {documents}").select("doc_id", F.md5(X.fold("text")).alias("folded"))
 
@@ -698,10 +698,9 @@ def _(spark, sf):
 
 @query(
     "P3_P4_special_lines",
-    f"SELECT row_ref, line_id, reason AS reasons FROM (SELECT row_ref, row_ref || '.X' AS line_id, 'OUT_OF_FAMILY' AS reason FROM {_ANS} AS a WHERE foreign_ AND claimed_out AND NOT (noun = 'Brida' AND false) "
-    f"UNION ALL SELECT row_ref, row_ref || '.E', 'PROCESSING_FAILED' FROM {_ANS} AS a WHERE NOT (foreign_ AND claimed_out) AND k % 97 = 0 "
-    f"UNION ALL SELECT row_ref, row_ref || '.N', 'NO_ELEMENTS_EXTRACTED' FROM {_ANS} AS a WHERE NOT (foreign_ AND claimed_out) AND k % 97 <> 0 AND (foreign_ OR k % 6 = 0 OR (k % 31 = 0 AND (set_kind = 3 OR k % 10 = 1)))) AS s "
-    f"WHERE row_ref NOT IN (SELECT row_ref FROM {_ANS} AS a WHERE foreign_ AND std IN ('', 'ASTM A193') AND false)",
+    f"SELECT row_ref, row_ref || '.' || kind AS line_id, CASE kind WHEN 'X' THEN 'OUT_OF_FAMILY' WHEN 'E' THEN 'PROCESSING_FAILED' WHEN '0' THEN 'EMPTY_DESCRIPTION' ELSE 'NO_ELEMENTS_EXTRACTED' END AS reasons FROM ("
+    f"SELECT a.row_ref, CASE WHEN foreign_ AND std = '' AND length(regexp_replace(source_text, '[^A-Za-zÀ-ÿ]', '', 'g')) < 8 THEN '0' WHEN foreign_ AND claimed_out THEN 'X' WHEN k % 97 = 0 THEN 'E' "
+    f"WHEN foreign_ OR k % 6 = 0 OR (k % 31 = 0 AND (set_kind = 3 OR k % 10 = 1)) THEN 'N' END AS kind FROM {_ANS} AS a JOIN ({ROWS_SQL}) AS r ON r.row_ref = a.row_ref) AS s WHERE kind IS NOT NULL",
 )
 def _(spark, sf):
     return answered_lines(spark, sf).filter("position = 0").select("row_ref", "line_id", codes().alias("reasons"))
