@@ -202,7 +202,7 @@ MIN_HEADER_CELLS = 3
 HEADER_SEARCH_ROWS = 25
 QUANTITY_HEADERS = ("CANTIDAD", "CANT", "QUANTITY", "QUANTITE", "QUANT", "QTY", "NOS", "UDS")
 UNIT_HEADERS = ("UD", "UNIDAD", "UNIT", "UNITE", "UM", "UOM")
-ITEM_HEADER = "(?i)^ITEM|^POS|^REF|^L[I\u00cd]NEA|^N[\u00bao\u00b0]"
+ITEM_HEADER = "(?iu)^ITEM|^POS|^REF|^L[I\u00cd]NEA|^N[\u00bao\u00b0]"
 
 # KPI constants
 LIFECYCLE_EVENTS = (

@@ -176,9 +176,10 @@ def format_check(rows: DataFrame, expected: DataFrame) -> DataFrame:
         F.map_values("cell_offsets"),
         lambda s: (s["start"] >= 0) & (s["end"] <= F.length("source_text")) & (s["start"] < s["end"]),
     )
-    j = rows.join(expected.withColumnRenamed("quantity", "expected_quantity"), ["file", "row_ref"], "full")
+    wanted = expected.withColumnRenamed("quantity", "expected_quantity").withColumn("wanted", F.lit(True))
+    j = rows.join(wanted, ["file", "row_ref"], "full")
     return j.groupBy("file").agg(
-        F.bool_and(F.col("source_text").isNotNull() & F.col("expected_quantity").isNotNull()).alias("rows_ok"),
+        F.bool_and(F.col("source_text").isNotNull() & F.col("wanted").isNotNull()).alias("rows_ok"),
         F.bool_and(F.coalesce(F.length("source_text") > 0, F.lit(False))).alias("text_ok"),
         F.bool_and(F.col("quantity").eqNullSafe(F.col("expected_quantity"))).alias("quantity_ok"),
         F.bool_and(F.coalesce(spans, F.lit(False))).alias("spans_ok"),
