@@ -228,21 +228,15 @@ def is_known_group(group: Column | str) -> Column:
 
 
 def quality_groups(entries: DataFrame) -> DataFrame:
-    """Group -> members; closed groups first, then own groups of live entries."""
+    """Members of the closed groups and of the own groups of live entries, one per record."""
     closed = entries.sparkSession.createDataFrame(
-        [(g, v, n, False) for g, m in T.QUALITY_GROUPS.items() for n, v in enumerate(m)],
-        "group_id string, member string, pos int, own boolean",
+        [(g, False, v) for g, m in T.QUALITY_GROUPS.items() for v in m],
+        "group_id string, own boolean, member string",
     )
     own = live(entries).filter(is_own_group("value")).select(
-        F.col("value").alias("group_id"), F.col("alias").alias("member"),
-        F.lit(0).alias("pos"), F.lit(True).alias("own"),
-    )
-    return (
-        closed.unionByName(own)
-        .groupBy("group_id", "own")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "member"))).alias("m"))
-        .select("group_id", "own", F.col("m.member").alias("members"))
+        F.col("value").alias("group_id"), F.lit(True).alias("own"), F.col("alias").alias("member")
     )
+    return closed.unionByName(own)
 
 
 def catalogue_coverage(values: DataFrame, observed: DataFrame) -> DataFrame:

@@ -15,30 +15,77 @@ def _seconds(ts: str) -> Column:
 def correction_pairs(events: DataFrame) -> DataFrame:
     """Durations of corrections. A saved event pairs with the started event right before it.
 
-    ``events`` (session_id, line_id, ts, seq, event_type); a saved event earlier than its start, or
-    without one, is dropped and a later start replaces an earlier one.
+    ``events`` (session_id, line_id, ts, seq, event_type); a saved event without a start before it is
+    dropped and a later start replaces an earlier one. The look-back runs inside each day of a
+    (session, line) and crosses days through one summary record per day, so a key that holds much of
+    the log is spread over its days.
     """
-    w = Window.partitionBy("session_id", "line_id").orderBy("ts", "seq")
+    key = ["session_id", "line_id"]
+    moves = events.filter(F.col("event_type").isin("started", "saved")).select(
+        *key, F.to_date("ts").alias("day"), F.struct("ts", "seq", "event_type").alias("e")
+    )
+    last = moves.groupBy(*key, "day").agg(F.max("e").alias("last"))
+    earlier = last.select(*key, "day", F.lag("last").over(Window.partitionBy(*key).orderBy("day")).alias("earlier"))
+    in_day = Window.partitionBy(*key, "day").orderBy("e")
+    looked = moves.withColumn("before", F.lag("e").over(in_day)).join(earlier, [*key, "day"])
+    before = F.coalesce("before", "earlier")
     return (
-        events.filter(F.col("event_type").isin("started", "saved"))
+        looked.select(*key, "e", before.alias("before"))
+        .filter("e.event_type = 'saved' and before.event_type = 'started'")
         .select(
-            "session_id", "line_id", "ts", "event_type",
-            F.lag("event_type").over(w).alias("before"), F.lag("ts").over(w).alias("started_at"),
+            *key, F.col("before.ts").alias("started_at"), F.col("e.ts").alias("saved_at"),
+            (F.unix_micros("e.ts") - F.unix_micros("before.ts")).alias("micros"),
         )
-        .filter("event_type = 'saved' and before = 'started'")
-        .select("session_id", "line_id", "started_at", F.col("ts").alias("saved_at"),
-                (_seconds("ts") - _seconds("started_at")).alias("seconds"))
+        .withColumn("seconds", F.col("micros") / 1e6)
+    )
+
+
+def nearest_rank(values: DataFrame, value: str, shares: tuple[float, ...]) -> DataFrame:
+    """Exact nearest-rank percentiles of a non-negative bigint column, one column per share.
+
+    Equal values are counted first. Running counts are then taken at three widths, each window
+    covering a bounded number of buckets, so no task ever orders the whole column.
+    """
+    counts = values.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumns({"b1": F.shiftright("v", 30), "b2": F.shiftright("v", 15)})
+
+    def before(keys: list[str], order: str) -> Window:
+        return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+    def offsets(keys: list[str], bucket: str, name: str) -> DataFrame:
+        sums = counts.groupBy(*keys, bucket).agg(F.sum("n").alias("n"))
+        spec = before(keys or [F.lit(0)], bucket)
+        return sums.select(*keys, bucket, F.coalesce(F.sum("n").over(spec), F.lit(0)).alias(name))
+
+    inner = F.coalesce(F.sum("n").over(before(["b2"], "v")), F.lit(0)) + F.col("n")
+    ranked = (
+        counts.withColumn("upto", inner)
+        .join(offsets(["b1"], "b2", "o2"), ["b1", "b2"])
+        .join(offsets([], "b1", "o1"), "b1")
+        .select("v", "n", (F.col("upto") + F.col("o1") + F.col("o2")).alias("rank"))
+    )
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    wanted = {f"p{round(s * 100)}": s for s in shares}
+    return ranked.join(total, F.lit(True)).agg(
+        *[
+            F.min(F.when(F.col("rank") >= F.greatest(F.ceil(F.col("total") * s), F.lit(1)), F.col("v"))).alias(name)
+            for name, s in wanted.items()
+        ]
     )
 
 
 def correction_timing(pairs: DataFrame) -> DataFrame:
     """Sample size, nearest-rank p50 and p90 seconds, and how many met the target."""
-    return pairs.filter("seconds >= 0").agg(
+    valid = pairs.filter("micros >= 0")
+    counts = valid.agg(
         F.count(F.lit(1)).alias("sample"),
-        F.expr("round(percentile_disc(0.5) WITHIN GROUP (ORDER BY seconds), 6)").alias("p50_seconds"),
-        F.expr("round(percentile_disc(0.9) WITHIN GROUP (ORDER BY seconds), 6)").alias("p90_seconds"),
         F.count_if(F.col("seconds") <= T.CORRECTION_TARGET_SECONDS).alias("within_target"),
     )
+    ranks = nearest_rank(valid, "micros", (0.5, 0.9))
+    return counts.join(ranks, F.lit(True)).select(
+        "sample", F.round(F.col("p50") / 1e6, 6).alias("p50_seconds"),
+        F.round(F.col("p90") / 1e6, 6).alias("p90_seconds"), "within_target",
+    )
 
 
 def first_arrivals(events: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bomrec.functions import closed_tables as T
@@ -124,10 +124,10 @@ def usage_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     per_row = F.try_divide(F.col("cost"), F.col("n_rows"))
     return sums.join(prices, "tier", "left").withColumn("cost", cost).select(
         "tier", "n_rows", "input", "cached", "output",
-        F.round("cost", 6).alias("cost"),
+        F.round("cost", 4).alias("cost"),
         F.round(F.try_divide(F.col("input") + F.col("output"), F.col("n_rows")), 6).alias("tokens_per_row"),
         F.round(per_row, 9).alias("cost_per_row"),
-        F.round(project_cost(per_row), 6).alias("project_cost"),
+        F.round(project_cost(per_row), 3).alias("project_cost"),
     )
 
 
@@ -208,7 +208,3 @@ def rejected_measures(lines: DataFrame) -> DataFrame:
         F.when(F.array_contains("policies_applied", "P-11"), F.col("quality")).alias("quality"),
         "measure", "measure_prov",
     )
-
-
-def nth(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

@@ -293,8 +293,8 @@ _PRICES = [("main", 1.25, 0.125, 10.0), ("cheap", 0.25, 0.025, 2.0)]
 
 @query(
     "A28_F25_usage_cost",
-    f"SELECT u.tier, CAST(u.n_rows AS BIGINT) AS n_rows, CAST(input AS BIGINT) AS input, CAST(cached AS BIGINT) AS cached, CAST(output AS BIGINT) AS output, round(((input - cached) * p_in + cached * p_cached + output * p_out) / 1e6, 6) AS cost, round(CAST(input + output AS DOUBLE) / u.n_rows, 6) AS tokens_per_row, "
-    "round(((input - cached) * p_in + cached * p_cached + output * p_out) / 1e6 / u.n_rows, 9) AS cost_per_row, round(((input - cached) * p_in + cached * p_cached + output * p_out) / 1e6 / u.n_rows * 20000 * 25, 6) AS project_cost "
+    f"SELECT u.tier, CAST(u.n_rows AS BIGINT) AS n_rows, CAST(input AS BIGINT) AS input, CAST(cached AS BIGINT) AS cached, CAST(output AS BIGINT) AS output, round(((input - cached) * p_in + cached * p_cached + output * p_out) / 1e6, 4) AS cost, round(CAST(input + output AS DOUBLE) / u.n_rows, 6) AS tokens_per_row, "
+    "round(((input - cached) * p_in + cached * p_cached + output * p_out) / 1e6 / u.n_rows, 9) AS cost_per_row, round(((input - cached) * p_in + cached * p_cached + output * p_out) / 1e6 / u.n_rows * 20000 * 25, 3) AS project_cost "
     f"FROM (SELECT tier, CAST(sum(n_rows) AS DOUBLE) AS n_rows, CAST(sum(input) AS DOUBLE) AS input, CAST(sum(cached) AS DOUBLE) AS cached, CAST(sum(output) AS DOUBLE) AS output FROM ({lens.sql(_USAGE)}) AS x GROUP BY tier) AS u LEFT JOIN (SELECT tier, CAST(p_in AS DOUBLE) AS p_in, CAST(p_cached AS DOUBLE) AS p_cached, CAST(p_out AS DOUBLE) AS p_out FROM {values_sql(_PRICES, 'tier, p_in, p_cached, p_out')} AS v) AS p ON p.tier = u.tier",
 )
 def _(spark, sf):

@@ -317,7 +317,11 @@ def _(spark, sf):
     return _hits(spark, sf, "materials")
 
 
-@query("J6_standards", _at([("std", "std <> ''"), ("'DIN 934'", "set_kind IN (1, 2)")]))
+# A single letter after a DIN number reads as its suffix, so the W of `DIN 933 W/2` belongs to the hit.
+_STD = "std || CASE WHEN std = 'DIN 933' AND measure = '' AND quality = '' AND len = '' AND mat = '' AND set_kind = 1 THEN ' W' ELSE '' END"
+
+
+@query("J6_standards", _at([(f"({_STD})", "std <> ''"), ("'DIN 934'", "set_kind IN (1, 2)")]))
 def _(spark, sf):
     return _hits(spark, sf, "standards")
 
@@ -343,7 +347,7 @@ def _(spark, sf):
 
 @query(
     "J10_ownership",
-    f"SELECT row_ref, 0 AS position, nullif(std, '') AS standard_raw, nullif(quality, '') AS quality_raw, "
+    f"SELECT row_ref, 0 AS position, nullif({_STD}, '') AS standard_raw, nullif(quality, '') AS quality_raw, "
     f"CASE WHEN set_kind = 3 THEN nullif(upper(strip_accents(fin)), '') END AS finish_raw FROM {_HITROWS} AS h WHERE noun NOT IN ('Brida', 'Válvula') "
     f"UNION ALL SELECT row_ref, 1, CASE WHEN set_kind > 0 THEN 'DIN 934' END, CASE set_kind WHEN 1 THEN '8' WHEN 2 THEN '10' END, "
     f"nullif(upper(strip_accents(fin)), '') FROM {_HITROWS} AS h WHERE set_kind < 3 AND noun NOT IN ('Brida', 'Válvula')",
@@ -517,8 +521,8 @@ def _(spark, sf):
 
 @query(
     "J9_material_derivation",
-    f"SELECT raw, CASE WHEN g IN ('G10', 'G11', 'G12', 'G13', 'G14') THEN 'deliberate' WHEN g IS NOT NULL OR regexp_matches(raw, '^(GR\\.?\\s*)?(B7M?|2HM?|B16)$') THEN 'derived' ELSE 'uncovered' END AS outcome, "
-    f"CASE WHEN g IN ('G1', 'G2', 'G3', 'G4') THEN 'INOX' WHEN g IN ('G5', 'G6', 'G7', 'G8', 'G9') OR regexp_matches(raw, '^(GR\\.?\\s*)?(B7M?|2HM?|B16)$') THEN 'AC' END AS material "
+    f"SELECT raw, CASE WHEN g IN ('G10', 'G11', 'G12', 'G13', 'G14') THEN 'deliberate' WHEN g IS NOT NULL OR regexp_matches(raw, '^(GR\\.?\\s*)?(B7M?|2HM?|B16)$|^45H$') THEN 'derived' ELSE 'uncovered' END AS outcome, "
+    f"CASE WHEN g IN ('G1', 'G2', 'G3', 'G4') THEN 'INOX' WHEN g IN ('G5', 'G6', 'G7', 'G8', 'G9') OR regexp_matches(raw, '^(GR\\.?\\s*)?(B7M?|2HM?|B16)$|^45H$') THEN 'AC' END AS material "
     f"FROM (SELECT DISTINCT raw, c.group_id AS g FROM (SELECT CASE p_partkey % 4 WHEN 0 THEN 'GR B' || CAST(p_size AS VARCHAR) WHEN 1 THEN CAST(p_size * 20 AS VARCHAR) || 'HV' WHEN 2 THEN 'A' || CAST(p_size % 6 AS VARCHAR) ELSE CAST(p_size AS VARCHAR) || CASE WHEN p_partkey % 8 = 3 THEN 'H' ELSE '' END END AS raw FROM part) AS q LEFT JOIN {_GROUPS} AS c ON c.value = raw) AS r",
 )
 def _(spark, sf):

@@ -77,11 +77,12 @@ _GROUP_ENTRIES = "SELECT 'q' || CAST(p_partkey AS STRING) AS id, p_name || ' ' |
 
 @query(
     "A37_quality_groups",
-    f"SELECT group_id, false AS own, CAST(count(*) AS INT) AS n_members FROM {values_sql([(g, q) for g, m in T.QUALITY_GROUPS.items() for q in m], 'group_id, member')} AS c GROUP BY group_id "
-    f"UNION ALL SELECT value, true, CAST(count(*) AS INT) FROM ({lens.sql(_GROUP_ENTRIES)}) AS e WHERE value LIKE 'V-%' GROUP BY value",
+    f"SELECT group_id, false AS own, CAST(count(*) AS BIGINT) AS n_members FROM {values_sql([(g, q) for g, m in T.QUALITY_GROUPS.items() for q in m], 'group_id, member')} AS c GROUP BY group_id "
+    f"UNION ALL SELECT value, true, CAST(count(*) AS BIGINT) FROM ({lens.sql(_GROUP_ENTRIES)}) AS e WHERE value LIKE 'V-%' GROUP BY value",
 )
 def _(spark, sf):
-    return catalog.quality_groups(lens.frame(spark, sf, _GROUP_ENTRIES)).select("group_id", "own", F.size("members").alias("n_members"))
+    members = catalog.quality_groups(lens.frame(spark, sf, _GROUP_ENTRIES))
+    return members.groupBy("group_id", "own").agg(F.count(F.lit(1)).alias("n_members"))
 
 
 @query(

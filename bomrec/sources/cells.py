@@ -186,7 +186,17 @@ def format_check(rows: DataFrame, expected: DataFrame) -> DataFrame:
     )
 
 
-def realign_by_position(rows: DataFrame, reference: DataFrame) -> DataFrame:
-    """Give rows of files without an item column the reference's k-th item."""
-    mine = rows.withColumn("k", F.row_number().over(Window.partitionBy("file").orderBy("row_number")))
+def realign_by_position(rows: DataFrame, reference: DataFrame, chunk: int = 10_000) -> DataFrame:
+    """Give rows of files without an item column the reference's k-th item.
+
+    Positions are counted inside chunks of row numbers and shifted by the size of the chunks before,
+    so one very long file is ranked by many tasks.
+    """
+    parts = rows.withColumn("chunk", F.floor(F.col("row_number") / chunk))
+    sizes = parts.groupBy("file", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("file").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("file", "chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+    inside = F.row_number().over(Window.partitionBy("file", "chunk").orderBy("row_number"))
+    ranked = parts.withColumn("inside", inside).join(offsets, ["file", "chunk"])
+    mine = ranked.withColumn("k", F.col("inside") + F.col("offset")).drop("chunk", "inside", "offset")
     return mine.join(reference.select("k", F.col("row_ref").alias("item_ref")), "k", "left").drop("k")
