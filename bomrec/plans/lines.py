@@ -9,6 +9,16 @@ from bomrec.operators import reader, score, validate
 from bomrec.operators.catalog import Vocabulary
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Give a CPU-bound plan at least one task per core.
+
+    Only a scan that yields fewer splits than the cluster has cores, such as one small file, is
+    redistributed; a large table keeps its splits and is not shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def rows_to_lines(
     rows: DataFrame,
     vocabulary: Vocabulary | None = None,
@@ -43,6 +53,8 @@ def repeated_rows_to_lines(
     """
     stated = F.col("quantity").isNotNull()
     texts = rows.select("source_text", stated.alias("has_quantity")).distinct()
+    # Reading is CPU-bound and its input small, so adaptive coalescing by bytes would starve it.
+    texts = texts.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     unit = texts.withColumn("quantity", F.when(F.col("has_quantity"), F.lit(1.0)))
     read = rows_to_lines(unit, vocabulary, policies, keys=("source_text", "has_quantity"), trace=True)
     read = read.withColumnRenamed("quantity", "per_unit")

@@ -11,8 +11,8 @@ from bomrec.operators import catalog, detect, gaps, normalize, panel, reader, ru
 from bomrec.operators.catalog import Vocabulary
 from bomrec.plans import lens
 from bomrec.plans.lens import expected
-from bomrec.plans.lines import repeated_rows_to_lines
-from bomrec.plans.registry import answered_lines, answered_read, codes, joined, part_lines, part_read, query, values_sql
+from bomrec.plans.lines import repeated_rows_to_lines, spread
+from bomrec.plans.registry import answered_lines, answered_read, codes, joined, part_lines, part_read, part_rows, query, values_sql
 
 V = Vocabulary.closed()
 PIECES_SQL = lens.sql(lens.PIECES)
@@ -412,7 +412,7 @@ def _scan_check(table: str, key: str, text: str) -> str:
 
 @query("J1_alias_scan_documents", _scan_check("documents", "doc_id", "text"))
 def _(spark, sf):
-    docs = lens.frame(spark, sf, "SELECT doc_id, text FROM {documents}")
+    docs = spread(lens.frame(spark, sf, "SELECT doc_id, text FROM {documents}"))
     hits = docs.select("doc_id", X.fold("text").alias("folded")).select("doc_id", detect.name_hits(F.col("folded"), V).alias("h"))
     return hits.select("doc_id", F.explode("h.text").alias("alias")).groupBy(
         "doc_id", detect.name_value(F.col("alias"), V).alias("name")
@@ -421,7 +421,7 @@ def _(spark, sf):
 
 @query("J1_alias_scan_pages", _scan_check("pages", "page_id", "html"))
 def _(spark, sf):
-    pages = lens.frame(spark, sf, "SELECT page_id, html FROM {pages}")
+    pages = spread(lens.frame(spark, sf, "SELECT page_id, html FROM {pages}"))
     hits = pages.select("page_id", X.fold("html").alias("folded")).select("page_id", detect.name_hits(F.col("folded"), V).alias("h"))
     return hits.select("page_id", F.explode("h.text").alias("alias")).groupBy(
         "page_id", detect.name_value(F.col("alias"), V).alias("name")
@@ -437,7 +437,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    docs = lens.frame(spark, sf, "SELECT doc_id, text FROM {documents}")
+    docs = spread(lens.frame(spark, sf, "SELECT doc_id, text FROM {documents}"))
     words = lens.frame(spark, sf, "SELECT text FROM {benchmark}").select(F.explode(F.split("text", " ")).alias("alias"))
     words = words.filter(F.col("alias").rlike("^[a-z]{7,}$")).distinct()
     aliases = words.select("alias", F.col("alias").alias("value"), F.hash("alias").alias("ord"))
@@ -629,7 +629,7 @@ _GAPS = """gaps AS (
 
 
 def _part_gaps(spark, sf):
-    return gaps.detect_gaps(lens.frame(spark, sf, lens.PART_ROWS), part_lines(spark, sf), V)
+    return gaps.detect_gaps(part_rows(spark, sf), part_lines(spark, sf), V)
 
 
 @query("U2_J14_J26_J28_gaps", expected("SELECT row_ref, kind, attribute, value FROM gaps", _GAPS))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from bomrec.operators import reader
 from bomrec.operators.reader import READ_ATTRIBUTES
 from bomrec.plans import lens
-from bomrec.plans.lines import rows_to_lines
+from bomrec.plans.lines import rows_to_lines, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -32,14 +32,19 @@ def query(key: str, check: str | None = None):
 # The same plans feed many queries; building them once per session keeps registration cheap.
 
 
+@lru_cache(maxsize=8)
+def part_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(lens.frame(spark, sf, lens.PART_ROWS))
+
+
 @lru_cache(maxsize=8)
 def part_read(spark: SparkSession, sf: str) -> DataFrame:
-    return reader.read_with_tables(lens.frame(spark, sf, lens.PART_ROWS))
+    return reader.read_with_tables(part_rows(spark, sf))
 
 
 @lru_cache(maxsize=8)
 def part_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return rows_to_lines(lens.frame(spark, sf, lens.PART_ROWS))
+    return rows_to_lines(part_rows(spark, sf))
 
 
 def answers(spark: SparkSession, sf: str) -> DataFrame:
