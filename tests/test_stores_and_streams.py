@@ -1,9 +1,12 @@
 """Files, stores and streaming feeds."""
 
+import datetime
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from bomrec.functions.closed_tables import ATTRIBUTES
 from bomrec.operators import kpi, revisions
 from bomrec.sources import records, stores
 from bomrec.streaming import feeds
@@ -125,3 +128,30 @@ def test_vocabulary_feed_is_idempotent(spark, tmp_path):
         _drain(feeds.vocabulary_updates(stream, publish, history), tmp_path, f"v{n}")
         seen[:] = [df]
     assert state == {"a": "2", "b": None}
+
+
+def test_live_pairs_equal_batch_pairs(spark, tmp_path):
+    pytest.importorskip("google.protobuf")
+    schema = "session_id string, line_id string, ts timestamp, seq long, event_type string"
+    t0 = datetime.datetime(2026, 1, 1)
+    kinds = ["saved", "started", "started", "saved", "saved", "other", "started"]
+    rows = [(s, "l", t0 + datetime.timedelta(seconds=10 * i), i, k) for s in ("a", "b") for i, k in enumerate(kinds)]
+    df = spark.createDataFrame(rows, schema)
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    out = feeds.live_correction_pairs(_stream(spark, df, tmp_path, "pairs"))
+    _drain(out.writeStream.format("memory").queryName("pairs_out").outputMode("append"), tmp_path, "pairs")
+    live = sorted((r.session_id, r.seconds) for r in spark.table("pairs_out").collect())
+    batch = sorted((r.session_id, r.seconds) for r in kpi.correction_pairs(df).collect())
+    assert live == batch == [("a", 10.0), ("b", 10.0)]
+
+
+def test_quotation_file(spark, tmp_path):
+    schema = "row_ref string, line_id string, position int, quantity double, quantity_prov string, status string, reasons array<struct<code:string>>, " + ", ".join(f"{a} string" for a in ATTRIBUTES)
+    row = ("1", "1.1", 1, 2.0, "extracted", "REVISION_MANUAL", [("LENGTH_MISSING",)], "TUERCA", None, '8 "x"; y', "M8", None, None, None)
+    stores.write_quotation(spark.createDataFrame([row], schema), str(tmp_path / "q"))
+    text = "".join(p.read_text() for p in (tmp_path / "q").glob("*.csv")).splitlines()
+    assert text[0].startswith("familia;linea_id;fila_origen;cantidad")
+    assert '"8 ""x""; y"' in text[1] and text[1].endswith("LENGTH_MISSING")
