@@ -123,12 +123,19 @@ def unescape_jsonish(value: Column | str) -> Column:
     return F.when(F.contains(c, F.lit("\\")), plain).otherwise(c)
 
 
+def _literal(value: str | int | float) -> str:
+    if isinstance(value, int):
+        return str(value)
+    if isinstance(value, float):
+        return f"{value!r}D"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def lookup(table: dict, key: Column) -> Column:
     """Constant map lookup; a missing or null key gives null."""
     if not table:
         return F.lit(None).cast("string")
-    pairs = [F.lit(x) for kv in table.items() for x in kv]
-    return F.element_at(F.create_map(*pairs), key)
+    return F.element_at(F.expr("map(" + ", ".join(_literal(x) for kv in table.items() for x in kv) + ")"), key)
 
 
 def strings(values) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bomrec.functions import text as X
 from bomrec.operators import detect as D
 from bomrec.operators import normalize as N
+from bomrec.operators import validate
 from bomrec.operators.catalog import Vocabulary
 
 # A row whose lines all carry one of these is already reported through its own reason.
@@ -39,16 +40,20 @@ def line_gaps(lines: DataFrame, vocabulary: Vocabulary) -> Column:
     )
 
 
-def detect_gaps(
-    rows: DataFrame, lines: DataFrame, vocabulary: Vocabulary | None = None,
-    key: str = "row_ref", text: str = "source_text",
-) -> DataFrame:
-    """Every gap (key, kind, attribute, value).
+DETECTED = ("name_values", "standard_values", "finish_values")
 
-    Lines are folded to one record per row (a row has as many lines as elements, so the record is
-    small) and meet the row's own detections in a single equi-join on the row key.
-    """
-    v = vocabulary or Vocabulary.closed()
+
+def _detected(v: Vocabulary) -> list[Column]:
+    """Distinct values a row's own text states, per scanned attribute."""
+    return [
+        D.distinct_names(F.col("names"), v).alias("name_values"),
+        D.distinct_standards(F.col("standards"), v).alias("standard_values"),
+        D.distinct_finishes(F.col("finishes"), v).alias("finish_values"),
+    ]
+
+
+def _row_summary(lines: DataFrame, v: Vocabulary, key: str, kept: tuple[str, ...] = ()) -> DataFrame:
+    """What a row's lines carry; a row has as many lines as elements, so the record is small."""
 
     def carried(attribute: str) -> Column:
         values = F.flatten(F.collect_list(F.array_compact(F.array(F.col(attribute), F.col(f"{attribute}_raw")))))
@@ -61,32 +66,47 @@ def detect_gaps(
             "own_gaps": line_gaps(lines, v),
         }
     )
-    per_row = tagged.groupBy(key).agg(
+    return tagged.groupBy(key).agg(
         carried("name"), carried("standard"), carried("finish"),
         F.bool_and("reported").alias("skip"),
         F.bool_or("unscoped").alias("unscoped"),
         F.flatten(F.collect_list("own_gaps")).alias("own_gaps"),
+        *[F.first(c).alias(c) for c in kept],
     )
-    hits = D.with_hits(rows.select(key, text), text, v).select(
-        key,
-        D.distinct_names(F.col("names"), v).alias("name_values"),
-        D.distinct_standards(F.col("standards"), v).alias("standard_values"),
-        D.distinct_finishes(F.col("finishes"), v).alias("finish_values"),
-    )
 
+
+def _gaps(found: DataFrame, key: str) -> DataFrame:
     def unplaced(attribute: str) -> Column:
         missing = F.filter(
             f"{attribute}_values", lambda x: ~F.array_contains(F.col(f"carried_{attribute}"), F.upper(x))
         )
         return F.transform(missing, lambda x: _gap("UNPLACED_EVIDENCE", attribute, x))
 
-    found = hits.join(per_row.filter("not skip"), key)
-    gaps = F.concat(
-        unplaced("name"), unplaced("standard"),
-        F.when(~F.col("unscoped"), unplaced("finish")).otherwise(F.filter(unplaced("finish"), lambda x: F.lit(False))),
-        "own_gaps",
+    finish = F.filter(unplaced("finish"), lambda x: ~F.col("unscoped"))
+    return found.filter("not skip").select(
+        key, F.inline(F.concat(unplaced("name"), unplaced("standard"), finish, "own_gaps"))
     )
-    return found.select(key, F.inline(gaps))
+
+
+def detect_gaps(
+    rows: DataFrame, lines: DataFrame, vocabulary: Vocabulary | None = None,
+    key: str = "row_ref", text: str = "source_text",
+) -> DataFrame:
+    """Every gap (key, kind, attribute, value) of stored lines against their rows.
+
+    The lines' summary meets the row's own detections in a single equi-join on the row key.
+    """
+    v = vocabulary or Vocabulary.closed()
+    hits = D.with_hits(rows.select(key, text), text, v).select(key, *_detected(v))
+    return _gaps(hits.join(_row_summary(lines, v, key), key), key)
+
+
+def gaps_of_read(read: DataFrame, vocabulary: Vocabulary | None = None, key: str = "row_ref") -> DataFrame:
+    """U2/J14 for rows just read: the detections travel with the lines, so nothing is scanned twice
+    and the only shuffle is the one that brings a row's lines together."""
+    v = vocabulary or Vocabulary.closed()
+    lines = validate.lines(read.select("*", *_detected(v)), v, keys=(key, *DETECTED))
+    return _gaps(_row_summary(lines, v, key, DETECTED), key)
 
 
 def backlog(gaps: DataFrame, key: str = "row_ref") -> DataFrame:

@@ -66,3 +66,19 @@ def repeated_rows_to_lines(
         *[c for c in read.columns if c not in ("source_text", "has_quantity", "line_id", "per_unit")],
         (F.col("quantity") * F.col("per_unit")).alias("quantity"),
     )
+
+
+def text_totals_to_lines(rows: DataFrame, dims: tuple[str, ...] = ()) -> DataFrame:
+    """Lines of distinct texts with how many rows carry them and their total quantity.
+
+    For reports that need no row identity: rows collapse map-side to one record per text (and
+    dimension) before anything is read, so neither rows nor lines are ever shuffled or joined.
+    """
+    stated = F.col("quantity").isNotNull()
+    totals = rows.groupBy("source_text", stated.alias("has_quantity"), *dims).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("quantity").alias("row_quantity")
+    )
+    totals = totals.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    unit = totals.withColumn("quantity", F.when(F.col("has_quantity"), F.lit(1.0)))
+    lines = rows_to_lines(unit, keys=("source_text", "n_rows", "row_quantity", *dims), trace=False)
+    return lines.withColumn("quantity", F.col("quantity") * F.col("row_quantity"))

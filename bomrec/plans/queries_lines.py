@@ -11,8 +11,8 @@ from bomrec.operators import catalog, detect, gaps, normalize, panel, reader, ru
 from bomrec.operators.catalog import Vocabulary
 from bomrec.plans import lens
 from bomrec.plans.lens import expected
-from bomrec.plans.lines import repeated_rows_to_lines, spread
-from bomrec.plans.registry import answered_lines, answered_read, codes, joined, part_lines, part_read, part_rows, query, values_sql
+from bomrec.plans.lines import spread
+from bomrec.plans.registry import answered_lines, answered_read, codes, joined, order_lines, part_lines, part_read, part_rows, query, text_totals, values_sql
 
 V = Vocabulary.closed()
 PIECES_SQL = lens.sql(lens.PIECES)
@@ -32,11 +32,6 @@ def _(spark, sf):
     return part_lines(spark, sf).select(*_LINE, codes().alias("reasons"), joined("policies_applied").alias("policies"))
 
 
-def order_lines(spark, sf):
-    """Lines at order grain: the texts repeat, so each distinct text is read once."""
-    return repeated_rows_to_lines(lens.frame(spark, sf, lens.ORDER_ROWS))
-
-
 # At order grain every quantity is stated, so the reason about a missing one is dropped.
 _STATED = """stated AS (SELECT * REPLACE (
   array_to_string(list_filter(string_split(reasons, '|'), lambda r: r <> 'QUANTITY_NOT_STATED' AND r <> ''), '|') AS reasons)
@@ -54,8 +49,8 @@ orders_lines AS (SELECT s.*, CASE WHEN s.reasons = '' THEN 'RESUELTA' ELSE 'REVI
     ),
 )
 def status_by_family(spark, sf):
-    return order_lines(spark, sf).groupBy(F.col("name").alias("family"), "status").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.sum("quantity").alias("quantity")
+    return text_totals(spark, sf).groupBy(F.col("name").alias("family"), "status").agg(
+        F.sum("n_rows").alias("n_lines"), F.sum("quantity").alias("quantity")
     )
 
 
@@ -68,8 +63,7 @@ def status_by_family(spark, sf):
     ),
 )
 def _(spark, sf):
-    lines = repeated_rows_to_lines(lens.frame(spark, sf, lens.ORDER_ROWS), keys=("row_ref", "file_no"))
-    return lines.groupBy("file_no").agg(
+    return order_lines(spark, sf).groupBy("file_no").agg(
         F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("routing") != "review").alias("resolved")
     )
 
@@ -629,7 +623,7 @@ _GAPS = """gaps AS (
 
 
 def _part_gaps(spark, sf):
-    return gaps.detect_gaps(part_rows(spark, sf), part_lines(spark, sf), V)
+    return gaps.gaps_of_read(part_read(spark, sf), V)
 
 
 @query("U2_J14_J26_J28_gaps", expected("SELECT row_ref, kind, attribute, value FROM gaps", _GAPS))
@@ -637,6 +631,12 @@ def _(spark, sf):
     return _part_gaps(spark, sf)
 
 
+@query("J14_gaps_of_stored_lines", expected("SELECT attribute, value, CAST(count(*) AS BIGINT) AS n FROM gaps GROUP BY attribute, value", _GAPS))
+def _(spark, sf):
+    found = gaps.detect_gaps(part_rows(spark, sf), part_lines(spark, sf), V)
+    return found.groupBy("attribute", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("A1_L3_backlog", expected("SELECT kind, attribute, upper(value) AS value_key, CAST(count(*) AS BIGINT) AS n_rows, min(value) AS value FROM gaps GROUP BY kind, attribute, upper(value)", _GAPS))
 def _(spark, sf):
     return gaps.backlog(_part_gaps(spark, sf))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from bomrec.operators import reader
 from bomrec.operators.reader import READ_ATTRIBUTES
 from bomrec.plans import lens
-from bomrec.plans.lines import rows_to_lines, spread
+from bomrec.plans.lines import repeated_rows_to_lines, rows_to_lines, spread, text_totals_to_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -47,6 +47,17 @@ def part_lines(spark: SparkSession, sf: str) -> DataFrame:
     return rows_to_lines(part_rows(spark, sf))
 
 
+@lru_cache(maxsize=8)
+def order_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines at order grain: the texts repeat, so each distinct text is read once."""
+    return repeated_rows_to_lines(lens.frame(spark, sf, lens.ORDER_ROWS), keys=("row_ref", "file_no"))
+
+
+@lru_cache(maxsize=8)
+def text_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return text_totals_to_lines(lens.frame(spark, sf, lens.ORDER_ROWS))
+
+
 def answers(spark: SparkSession, sf: str) -> DataFrame:
     """Recorded answers for the part rows, some of them wrong on purpose.
 
