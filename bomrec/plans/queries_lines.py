@@ -12,7 +12,7 @@ from bomrec.operators.catalog import Vocabulary
 from bomrec.plans import lens
 from bomrec.plans.lens import expected
 from bomrec.plans.lines import spread
-from bomrec.plans.registry import answered_lines, answered_read, codes, joined, order_lines, part_lines, part_read, part_rows, query, text_totals, values_sql
+from bomrec.plans.registry import CHECKS, answered_lines, answered_read, codes, joined, order_lines, part_lines, part_read, part_rows, query, text_totals, values_sql
 
 V = Vocabulary.closed()
 PIECES_SQL = lens.sql(lens.PIECES)
@@ -693,13 +693,6 @@ def _(spark, sf):
     return reader.rejected_counts(answered_read(spark, sf))
 
 
-@query(
-    "A38_reader_diagnostics",
-)
-def _(spark, sf):
-    return reader.reader_diagnostics(answered_read(spark, sf))
-
-
 @query(
     "P3_P4_special_lines",
     f"SELECT row_ref, row_ref || '.' || kind AS line_id, CASE kind WHEN 'X' THEN 'OUT_OF_FAMILY' WHEN 'E' THEN 'PROCESSING_FAILED' WHEN '0' THEN 'EMPTY_DESCRIPTION' ELSE 'NO_ELEMENTS_EXTRACTED' END AS reasons FROM ("
@@ -720,8 +713,25 @@ def _(spark, sf):
     return runs.rejected_measures(answered_lines(spark, sf))
 
 
+_SPECIAL = CHECKS["P3_P4_special_lines"]
+_LOST = CHECKS["J22_F28_P4_unverifiable"]
+
+
+@query(
+    "A38_reader_diagnostics",
+    f"SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) FILTER (set_kind < 3 AND NOT foreign_) AS BIGINT) AS tier_main, "
+    f"CAST(count(*) FILTER (set_kind = 3 OR foreign_) - (SELECT count(*) FROM ({_SPECIAL}) AS e WHERE reasons = 'EMPTY_DESCRIPTION') AS BIGINT) AS tier_cheap, "
+    f"(SELECT count(*) FROM ({_SPECIAL}) AS e WHERE reasons = 'EMPTY_DESCRIPTION') AS tier_none, CAST(0 AS BIGINT) AS escalated, (SELECT count(*) FROM ({_LOST}) AS l) AS unverifiable, "
+    f"(SELECT count(*) FROM ({CHECKS['J29_rejected_counts']}) AS r) AS rejected_counts, (SELECT count(*) FROM ({_SPECIAL}) AS x WHERE reasons = 'OUT_OF_FAMILY') AS out_of_family_rows FROM {_ANS} AS a",
+)
+def _(spark, sf):
+    return reader.reader_diagnostics(answered_read(spark, sf))
+
+
 @query(
     "P6_review_eligible",
+    f"SELECT row_ref, false AS off, free AND n > 0 AS \"all\", free AND (n > 1 OR lost) AS multi_element FROM (SELECT row_ref, k % 97 <> 0 AND row_ref NOT IN (SELECT row_ref FROM ({_SPECIAL}) AS x WHERE reasons IN ('OUT_OF_FAMILY', 'EMPTY_DESCRIPTION')) AS free, "
+    f"row_ref IN (SELECT row_ref FROM ({_LOST}) AS l) AS lost, CASE WHEN foreign_ OR k % 6 = 0 THEN 0 ELSE CASE WHEN k % 31 = 0 THEN 0 ELSE 1 END + CASE WHEN set_kind < 3 AND k % 10 <> 1 THEN 1 ELSE 0 END END AS n FROM {_ANS} AS a) AS b",
 )
 def _(spark, sf):
     read = answered_read(spark, sf)
@@ -735,6 +745,14 @@ def _(spark, sf):
     )
 
 
+@query(
+    "P11_in_scope",
+    f"SELECT row_ref FROM {_ANS} AS a WHERE row_ref NOT IN (SELECT row_ref FROM ({_SPECIAL}) AS x WHERE reasons = 'OUT_OF_FAMILY')",
+)
+def _(spark, sf):
+    return score.in_scope(answered_lines(spark, sf)).select("row_ref").distinct()
+
+
 _VERDICTS = "SELECT CAST(p_partkey AS STRING) || '.1' AS line_id, p_size % 3 = 0 AS agrees, CASE p_size % 4 WHEN 0 THEN 'quantity' WHEN 1 THEN 'measure' WHEN 2 THEN 'quality' ELSE 'name' END AS attribute, p_partkey AS seq FROM {part}"
 
 
