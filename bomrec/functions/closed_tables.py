@@ -6,6 +6,8 @@ reasons, policies and the word lists of the multiplicity rule.
 
 from __future__ import annotations
 
+# Fixed values, all of this module: results are only comparable when they are equal everywhere.
+
 ATTRIBUTES = ("name", "material", "quality", "measure", "length", "standard", "finish")
 GRADED_CELLS = (*ATTRIBUTES, "quantity")
 
