@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bomrec.llm import exact_dedup, sharding
-from bomrec.llm.common import document_table
+from bomrec.llm import exact_dedup, mixing, sharding
+from bomrec.llm.common import document_table, kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -55,3 +55,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(document_table(spark, sf_dir))
+
+
+@query("op10_entropy_mix")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = document_table(spark, sf_dir)
+    sized = kept(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("n_words")))
+    mixed = mixing.entropy_mix(sized, size_col="n_words")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
