@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bomrec.llm import exact_dedup, mixing, sharding
+from bomrec.llm import decontaminate, exact_dedup, mixing, sharding
 from bomrec.llm.common import document_table, kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,37 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(document_table(spark, sf_dir))
 
 
+@query(
+    "op7_winnowed_decontamination",
+    r"""
+    WITH dw AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    bw AS (
+      SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    bp AS (
+      SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM bw WHERE len(w) > 0),
+    b AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS win FROM bp),
+    dp AS (
+      SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i
+      FROM dw, (SELECT DISTINCT k FROM b) ks WHERE len(w) >= k),
+    d AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS win FROM dp),
+    hits AS (SELECT d.doc_id, d.i, d.k, b.item_id FROM d JOIN b ON b.k = d.k AND b.win = d.win),
+    pos AS (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS p FROM hits),
+    n AS (SELECT doc_id, count(*) AS n_hit FROM pos GROUP BY doc_id),
+    its AS (
+      SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM dw LEFT JOIN n USING (doc_id) LEFT JOIN its USING (doc_id)
+    """,
+)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(document_table(spark, sf_dir), document_table(spark, sf_dir, "benchmark"))
+
+
 @query("op10_entropy_mix")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = document_table(spark, sf_dir)
