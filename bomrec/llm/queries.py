@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bomrec.llm import decontaminate, exact_dedup, mixing, sharding
+from bomrec.llm import decontaminate, exact_dedup, language, mixing, sharding
 from bomrec.llm.common import document_table, kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,16 @@ def query(key: str, check: str | None = None):
     return register
 
 
+@query("op1_code_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = document_table(spark, sf_dir)
+    learned = docs.where(~language.held_out(F.col("doc_id"))).select("text", "lang")
+    told = language.identify(docs.select("doc_id", "text"), learned)
+    return told.select(
+        "doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous"
+    )
+
+
 @query("op3_interleaved_shards")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = document_table(spark, sf_dir)

@@ -75,6 +75,15 @@ def blocks(offsets: np.ndarray, most: int = STEP) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def pieces(offsets: np.ndarray, most: int = STEP, reach: int = 2) -> Iterator[tuple[int, int, int, int, int]]:
+    """As ``blocks``, as (i, j, begin, stop, lead) in bytes; a longer text comes as several pieces, of which
+    the first ``lead`` bytes repeat the end of the piece before."""
+    for i, j in blocks(offsets, most):
+        for begin in range(int(offsets[i]), max(int(offsets[j]), int(offsets[i]) + 1), most):
+            lead = min(reach, begin - int(offsets[i]))
+            yield i, j, begin - lead, min(begin + most, int(offsets[j])), lead
+
+
 class Words:
     """Words of some texts in order: ``first[i]`` to ``first[i+1]`` are those of text i."""
 
