@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bomrec.llm import decontaminate, exact_dedup, language, mixing, sharding
+from bomrec.llm import decontaminate, exact_dedup, language, mixing, sharding, warc
 from bomrec.llm.common import document_table, kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,29 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(document_table(spark, sf_dir))
 
 
+@query(
+    "op6_warc_round_trip",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+    w AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+    SELECT page_id, octet_length(encode(payload)) AS payload_bytes,
+           array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+             ((('0x' || substr(h, CAST((5 * i) // 4 + 1 AS INT), 2))::INT >> CAST(3 - (5 * i) % 4 AS INT)) & 31) + 1 AS INT), 1)), '')
+             AS payload_digest,
+           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM w
+    """,
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(document_table(spark, sf_dir, "pages"), warc.archive_folder(spark))
+    records = warc.read_archives(archives, with_payload=False)
+    key = lambda c: F.nullif(F.regexp_extract(c, "^<urn:page:(.*)>$", 1), F.lit("")).cast("long")
+    return records.select(
+        key("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", key("refers_to").alias("refers_to")
+    )
+
+
 @query(
     "op7_winnowed_decontamination",
     r"""
