@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bomrec.llm import decontaminate, exact_dedup, language, mixing, sharding, warc
+from bomrec.llm import decontaminate, exact_dedup, language, mixing, secrets, sharding, warc
 from bomrec.llm.common import document_table, kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,6 +121,15 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(document_table(spark, sf_dir), document_table(spark, sf_dir, "benchmark"))
 
 
+@query("op8_automaton_secret_scan")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(document_table(spark, sf_dir))
+    return found.select(
+        "doc_id", *[F.col("n")[k].alias(f"n_{k}") for k in ("assign", "access", "hex")], "base_sha256",
+        F.col("spans_text").alias("spans"),
+    )
+
+
 @query("op10_entropy_mix")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = document_table(spark, sf_dir)
