@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bomrec.llm import decontaminate, exact_dedup, language, mixing, secrets, sharding, warc
+from bomrec.llm import decontaminate, exact_dedup, jaccard, language, mixing, secrets, sharding, warc
 from bomrec.llm.common import document_table, kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_ngram_jaccard_join")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = jaccard.ngram_jaccard_join(document_table(spark, sf_dir))
+    return rows.select("doc_id", "n_shingles", "component_id")
+
+
 @query("op3_interleaved_shards")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = document_table(spark, sf_dir)
