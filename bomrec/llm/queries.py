@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bomrec.llm import decontaminate, exact_dedup, jaccard, language, mixing, secrets, sharding, warc
+from bomrec.llm import decontaminate, exact_dedup, jaccard, language, mixing, quality, secrets, sharding, warc
 from bomrec.llm.common import document_table, kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,6 +136,14 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op9_random_index_quality")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = document_table(spark, sf_dir)
+    labels = document_table(spark, sf_dir, "labels").where(~quality.held_out(F.col("doc_id"))).select("doc_id", "quality")
+    scored = quality.score_quality(docs.select("doc_id", "text"), labels)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 @query("op10_entropy_mix")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = document_table(spark, sf_dir)
