@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bomrec.llm import decontaminate, exact_dedup, jaccard, language, mixing, quality, secrets, sharding, warc
-from bomrec.llm.common import document_table, kept
+from bomrec.llm import decontaminate, exact_dedup, jaccard, language, mixing, quality, secrets, sharding, token_counts, warc
+from bomrec.llm.common import document_table, kept, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -73,6 +74,28 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(document_table(spark, sf_dir))
 
 
+@query("op5_token_rollups")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches: all documents come in, those labelled toxic go, and those labelled of low
+    quality are counted anew with runs of white space as one space. The last batch is delivered twice."""
+    version = F.lit("byte_bpe_50k").alias("tokenizer")
+    docs = document_table(spark, sf_dir)
+    labels = document_table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    counted = token_counts.count_tokens(docs.select("doc_id", "source", "lang", "text"), "text", "tokens")
+    counted = kept(counted.select("doc_id", "source", "lang", "tokens", version))
+    toxic = counted.join(labels.where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    poor = docs.join(labels.where("quality = 0 AND NOT toxic <=> 1").select("doc_id"), "doc_id", "left_semi")
+    poor = token_counts.count_tokens(poor.select("source", "lang", "text", version), "text", "old_tokens")
+    squeezed = poor.withColumn("text", F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
+    revised = token_counts.count_tokens(squeezed, "text", "tokens")
+    rollup = token_counts.Rollup(spark, f"{shared_dir(spark)}/bomrec-rollup-{uuid.uuid4().hex}")
+    rollup.apply("insert-all", token_counts.inserted(counted))
+    rollup.apply("delete-toxic", token_counts.deleted(toxic))
+    for _ in range(2):
+        rollup.apply("recount-poor", token_counts.revised(revised))
+    return rollup.totals()
+
+
 @query(
     "op6_warc_round_trip",
     """

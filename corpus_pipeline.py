@@ -4,10 +4,56 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from bomrec.llm import sharding
-from bomrec.llm.common import document_table, shared_dir
+from bomrec.llm import decontaminate, jaccard, language, mixing, sharding
+from bomrec.llm.common import document_table, fresh, shared_dir
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """Documents with a key of their id and their text, so that rows with one id and two texts stay apart."""
+    (key,) = fresh(docs, "row_key")
+    return docs.withColumn(key, F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))), key
+
+
+def matching(docs: DataFrame, key: str, found: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join on the key; null ids match each other."""
+    found = found.select(F.col(f"{found.columns[0]}.id").alias("found_id"), F.col(f"{found.columns[0]}.text").alias("found_text"))
+    return docs.join(found, docs[key]["id"].eqNullSafe(found["found_id"]) & (docs[key]["text"] == found["found_text"]), how)
+
+
+def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a letter whose nearest language stands out; learned from those that state a language."""
+    told = language.identify(docs, docs.select("text", "lang"))
+    return told.where((F.col("lang_pred") != language.UNKNOWN) & ~F.col("ambiguous")).select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of the documents that links of 0.75 similarity lead between, the one with the smallest id.
+
+    Documents without a word are linked with nothing and stay. Of rows that repeat an id and a text one stays.
+    """
+    rows, key = keyed(docs)
+    found, _ = jaccard.ngram_jaccard_join(rows, id_col=key)
+    first = found.where(F.col(key) == F.col("component_id")).select(key).distinct()
+    once = Window.partitionBy(f"{key}.id", f"{key}.text").orderBy(F.lit(1))
+    (nth,) = fresh(rows, "nth")
+    return matching(rows, key, first, "left_semi").withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1).select(*docs.columns)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    rows, key = keyed(docs)
+    found = decontaminate.decontaminate(rows, document_table(spark, sf_dir, "benchmark"), id_col=key)
+    return matching(rows, key, found.where("contaminated").select(key).distinct(), "left_anti").select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mixture takes them; those it takes no copy of go."""
+    taken = mixing.entropy_mix(docs)
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    return taken.where("copies > 0").withColumn("copies", times).select(*docs.columns)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,7 +61,13 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.interleaved_shards(docs, shards=24)
 
 
-STAGES = [("sharding", shards)]
+STAGES = [
+    ("language_id", known_languages),
+    ("ngram_jaccard_join", one_of_each_group),
+    ("benchmark_decontamination", uncontaminated),
+    ("mixing_to_weights", mixed),
+    ("sharding", shards),
+]
 
 #: SQL can express neither the trained model nor the iterative balance.
 ORACLE_SQL = None
