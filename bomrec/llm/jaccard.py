@@ -232,15 +232,16 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def candidates(lists: DataFrame, rule: Rule, star: str | None) -> DataFrame:
     """Pairs from n-grams whose documents are not all in one component yet.
 
-    With ``star`` ('first' or 'last'), each n-gram pairs one document with those of other components;
-    without, all documents of different components. Pairs whose sizes, or places in the common order,
-    leave room for too small an intersection are discarded.
+    With ``star``, each n-gram pairs one document with those of other components: the 'plain' one, which
+    has the fewest rare n-grams before it and so lies nearest to what a group of copies has in common, or
+    'any' one, another for each n-gram. Without, all documents of different components meet. Pairs whose
+    sizes, or places in the common order, leave room for too small an intersection are discarded.
     """
     one = Window.partitionBy("gram")
     open_ = lists.withColumns({"lo": F.min("label").over(one), "hi": F.max("label").over(one)}).where("lo <> hi").drop("lo", "hi")
-    row = F.struct("label", "key", "n", "at")
     if star:
-        pick = (F.min if star == "first" else F.max)(row).over(one)
+        lead = F.col("at") if star == "plain" else F.xxhash64("gram", "key")
+        pick = F.min(F.struct(lead.alias("lead"), "key", "label", "n", "at")).over(one)
         pairs = open_.withColumn("p", pick).select(
             F.col("p.key").alias("x"), F.col("p.label").alias("lx"), F.col("p.n").alias("nx"), F.col("p.at").alias("ax"),
             F.col("key").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("at").alias("ay"),
@@ -269,8 +270,8 @@ def ngram_jaccard_join(
     parity bits and counted exactly for what remains.
 
     A product over a group of m near copies has m * m entries. So blocks are multiplied by one column
-    first (each n-gram's first, then last class), the components of the links found are formed, and the
-    whole product is taken only between classes of different components. No pair that could join two
+    first (each n-gram's plainest class, then another one), the components of the links found are formed,
+    and the whole product is taken only between classes of different components. No pair that could join two
     components is left out; pairs inside one are not listed.
 
     Null counts as the empty text. Rows that repeat an id are rows of their own. A null id is never a
@@ -298,7 +299,7 @@ def ngram_jaccard_join(
     shared = written(shared.select("gram", "key", "n", "at").dropDuplicates(["gram", "key"]), "postings")
 
     links = failed = labels = None
-    for star in ("first", "last", None):
+    for star in ("plain", "any", None):
         lists = shared.withColumn("label", F.col("key")) if labels is None else (
             shared.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
         )
