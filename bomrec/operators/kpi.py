@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from bomrec.functions import closed_tables as T
 
 
-def _seconds(ts: str) -> Column:
-    return F.unix_micros(F.col(ts)) / 1e6
-
-
 def correction_pairs(events: DataFrame) -> DataFrame:
     """Durations of corrections. A saved event pairs with the started event right before it.
 
@@ -40,33 +36,33 @@ def correction_pairs(events: DataFrame) -> DataFrame:
     )
 
 
-def nearest_rank(values: DataFrame, value: str, shares: tuple[float, ...]) -> DataFrame:
+def nearest_rank(values: DataFrame, value: str, shares: tuple[float, ...], by: tuple[str, ...] = ()) -> DataFrame:
     """Exact nearest-rank percentiles of a non-negative bigint column, one column per share.
 
     Equal values are counted first. Running counts are then taken at three widths, each window
-    covering a bounded number of buckets, so no task ever orders the whole column.
+    covering a bounded number of buckets, so no task ever orders the whole column. With ``by``, whose
+    columns are never null, one record for each group.
     """
-    counts = values.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    counts = values.groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
     counts = counts.withColumns({"b1": F.shiftright("v", 30), "b2": F.shiftright("v", 15)})
 
     def before(keys: list[str], order: str) -> Window:
-        return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
     def offsets(keys: list[str], bucket: str, name: str) -> DataFrame:
         sums = counts.groupBy(*keys, bucket).agg(F.sum("n").alias("n"))
-        spec = before(keys or [F.lit(0)], bucket)
-        return sums.select(*keys, bucket, F.coalesce(F.sum("n").over(spec), F.lit(0)).alias(name))
+        return sums.select(*keys, bucket, F.coalesce(F.sum("n").over(before(keys, bucket)), F.lit(0)).alias(name))
 
-    inner = F.coalesce(F.sum("n").over(before(["b2"], "v")), F.lit(0)) + F.col("n")
+    inner = F.coalesce(F.sum("n").over(before([*by, "b2"], "v")), F.lit(0)) + F.col("n")
     ranked = (
         counts.withColumn("upto", inner)
-        .join(offsets(["b1"], "b2", "o2"), ["b1", "b2"])
-        .join(offsets([], "b1", "o1"), "b1")
-        .select("v", "n", (F.col("upto") + F.col("o1") + F.col("o2")).alias("rank"))
+        .join(offsets([*by, "b1"], "b2", "o2"), [*by, "b1", "b2"])
+        .join(offsets([*by], "b1", "o1"), [*by, "b1"])
+        .select(*by, "v", (F.col("upto") + F.col("o1") + F.col("o2")).alias("rank"))
     )
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    total = counts.groupBy(*by).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     wanted = {f"p{round(s * 100)}": s for s in shares}
-    return ranked.join(total, F.lit(True)).agg(
+    return ranked.join(total, [*by] if by else F.lit(True)).groupBy(*by).agg(
         *[
             F.min(F.when(F.col("rank") >= F.greatest(F.ceil(F.col("total") * s), F.lit(1)), F.col("v"))).alias(name)
             for name, s in wanted.items()
@@ -95,35 +91,29 @@ def first_arrivals(events: DataFrame) -> DataFrame:
     return events.groupBy(*keys).agg(F.min_by(F.struct(*rest), "seq").alias("e")).select(*keys, "e.*")
 
 
-def recent_milestones(milestones: DataFrame, limit: int = 10_000) -> DataFrame:
-    """A16 input: the newest milestones; the limit is the report's own window."""
-    return milestones.orderBy(F.desc("ts"), F.desc("seq")).limit(limit)
-
-
 def milestone_counts(milestones: DataFrame) -> DataFrame:
     return milestones.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def stage_durations(milestones: DataFrame) -> DataFrame:
-    """Hours per flow and stage; one conditional aggregation per flow, negatives dropped."""
+    """Microseconds per flow and stage; one conditional aggregation per flow, negatives dropped."""
     at = [F.max(F.when(F.col("event_type") == t, F.col("ts"))).alias(t) for t in T.LIFECYCLE_EVENTS]
     flows = milestones.groupBy("project_id", "revision_id", "flow_id").agg(*at)
     stages = F.array(
         *[
-            F.struct(F.lit(stage).alias("stage"), ((_seconds(end) - _seconds(start)) / 3600.0).alias("hours"))
+            F.struct(F.lit(stage).alias("stage"), (F.unix_micros(F.col(end)) - F.unix_micros(F.col(start))).alias("micros"))
             for stage, (start, end) in T.LIFECYCLE_STAGES.items()
         ]
     )
-    return flows.select("project_id", "revision_id", "flow_id", F.inline(stages)).filter("hours >= 0")
+    return flows.select("project_id", "revision_id", "flow_id", F.inline(stages)).filter("micros >= 0")
 
 
 def lifecycle_kpi(milestones: DataFrame) -> DataFrame:
-    """Sample size and nearest-rank p50/p90 hours per stage."""
-    return stage_durations(milestones).groupBy("stage").agg(
-        F.count(F.lit(1)).alias("sample"),
-        F.expr("round(percentile_disc(0.5) WITHIN GROUP (ORDER BY hours), 6)").alias("p50_hours"),
-        F.expr("round(percentile_disc(0.9) WITHIN GROUP (ORDER BY hours), 6)").alias("p90_hours"),
-    )
+    """Sample size and nearest-rank p50/p90 hours per stage, over all milestones."""
+    durations = stage_durations(milestones)
+    sample = durations.groupBy("stage").agg(F.count(F.lit(1)).alias("sample"))
+    hours = [F.round(F.col(p) / 3_600_000_000, 6).alias(f"{p}_hours") for p in ("p50", "p90")]
+    return sample.join(nearest_rank(durations, "micros", (0.5, 0.9), by=("stage",)), "stage").select("stage", "sample", *hours)
 
 
 def entry_id_from_rule(rule: Column) -> Column:

@@ -439,20 +439,20 @@ def _(spark, sf):
     return _milestones(spark, sf).select("project_id", "revision_id", "flow_id", "event_type", "seq")
 
 
-@query("A16_milestone_counts", f"WITH {_FIRST} SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM (SELECT * FROM first_ ORDER BY ts DESC, seq DESC LIMIT 10000) AS r GROUP BY event_type")
+@query("A16_milestone_counts", f"WITH {_FIRST} SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM first_ GROUP BY event_type")
 def _(spark, sf):
-    return kpi.milestone_counts(kpi.recent_milestones(_milestones(spark, sf)))
+    return kpi.milestone_counts(_milestones(spark, sf))
 
 
 _STAGES = " UNION ALL ".join(
-    f"SELECT '{s}' AS stage, epoch_us(b.ts) / 1e6 / 3600 - epoch_us(a.ts) / 1e6 / 3600 AS hours FROM recent AS a JOIN recent AS b USING (project_id, revision_id, flow_id) WHERE a.event_type = '{x}' AND b.event_type = '{y}' AND b.ts >= a.ts"
+    f"SELECT '{s}' AS stage, epoch_us(b.ts) / 1e6 / 3600 - epoch_us(a.ts) / 1e6 / 3600 AS hours FROM first_ AS a JOIN first_ AS b USING (project_id, revision_id, flow_id) WHERE a.event_type = '{x}' AND b.event_type = '{y}' AND b.ts >= a.ts"
     for s, (x, y) in T.LIFECYCLE_STAGES.items()
 )
 
 
-@query("A16_lifecycle_kpi", f"WITH {_FIRST}, recent AS (SELECT * FROM first_ ORDER BY ts DESC, seq DESC LIMIT 10000) SELECT stage, CAST(count(*) AS BIGINT) AS sample, round(quantile_disc(hours, 0.5), 4) AS p50_hours, round(quantile_disc(hours, 0.9), 4) AS p90_hours FROM ({_STAGES}) AS d GROUP BY stage")
+@query("A16_lifecycle_kpi", f"WITH {_FIRST} SELECT stage, CAST(count(*) AS BIGINT) AS sample, round(quantile_disc(hours, 0.5), 4) AS p50_hours, round(quantile_disc(hours, 0.9), 4) AS p90_hours FROM ({_STAGES}) AS d GROUP BY stage")
 def lifecycle(spark, sf):
-    k = kpi.lifecycle_kpi(kpi.recent_milestones(_milestones(spark, sf)))
+    k = kpi.lifecycle_kpi(_milestones(spark, sf))
     return k.select("stage", "sample", F.round("p50_hours", 4).alias("p50_hours"), F.round("p90_hours", 4).alias("p90_hours"))
 
 
