@@ -201,7 +201,6 @@ COUNT_WINDOW = 26
 # Sheet ingestion
 CELL_SEPARATOR = " | "
 MIN_HEADER_CELLS = 3
-HEADER_SEARCH_ROWS = 25
 QUANTITY_HEADERS = ("CANTIDAD", "CANT", "QUANTITY", "QUANTITE", "QUANT", "QTY", "NOS", "UDS")
 UNIT_HEADERS = ("UD", "UNIDAD", "UNIT", "UNITE", "UM", "UOM")
 ITEM_HEADER = "(?iu)^ITEM|^POS|^REF|^L[I\u00cd]NEA|^N[\u00bao\u00b0]"

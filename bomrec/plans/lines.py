@@ -19,6 +19,11 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+def described(rows: DataFrame) -> DataFrame:
+    """A row without a text reads as one with an empty text, so that it yields a line as well."""
+    return rows.withColumn("source_text", F.coalesce("source_text", F.lit("")))
+
+
 def rows_to_lines(
     rows: DataFrame,
     vocabulary: Vocabulary | None = None,
@@ -32,6 +37,7 @@ def rows_to_lines(
     With the table-only reader the whole plan is one narrow stage; recorded answers add the single
     equi-join that brings them to their rows.
     """
+    rows = described(rows)
     if responses is None:
         read = reader.read_with_tables(rows, vocabulary, trace=trace)
     else:
@@ -51,6 +57,7 @@ def repeated_rows_to_lines(
     distinct pair is read once (map-side distinct) and joined back by an equi-join that adaptive
     execution broadcasts when small and splits when one text dominates.
     """
+    rows = described(rows)
     stated = F.col("quantity").isNotNull()
     texts = rows.select("source_text", stated.alias("has_quantity")).distinct()
     # Reading is CPU-bound and its input small, so adaptive coalescing by bytes would starve it.
@@ -74,6 +81,7 @@ def text_totals_to_lines(rows: DataFrame, dims: tuple[str, ...] = ()) -> DataFra
     For reports that need no row identity: rows collapse map-side to one record per text (and
     dimension) before anything is read, so neither rows nor lines are ever shuffled or joined.
     """
+    rows = described(rows)
     stated = F.col("quantity").isNotNull()
     totals = rows.groupBy("source_text", stated.alias("has_quantity"), *dims).agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("quantity").alias("row_quantity")

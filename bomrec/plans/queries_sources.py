@@ -8,12 +8,12 @@ from bomrec.plans import lens
 from bomrec.plans.registry import query
 from bomrec.sources import cells as S
 
-# One file per supplier. Row 1 is a title, row 2 the header, data from row 3: one row per part the
-# supplier ships. Files differ in their headers, some lack a quantity or an item column, some have a
+# One file per supplier. Row 1 is a title, row 2 (in every tenth file row 32) the header, then data: one
+# row per part the supplier ships. Some files have a column without a header inside the table. Files differ in their headers, some lack a quantity or an item column, some have a
 # second sheet, blank rows or cells beyond the header. Every cell is one record.
 _GRID = """
 SELECT l_suppkey AS f, l_partkey AS p, sum(l_quantity) AS q, count(*) AS n,
-  row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) + 2 AS r
+  row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) + CASE WHEN l_suppkey % 10 = 0 THEN 32 ELSE 2 END AS r
 FROM {lineitem} GROUP BY l_suppkey, l_partkey
 """
 _ITEM = "CASE f % 3 WHEN 0 THEN 'ITEM' WHEN 1 THEN 'Línea' ELSE 'CODE' END"
@@ -28,15 +28,16 @@ def _cell(col: int, value: str, source: str, row: str = "CAST(r AS INT)", sheet:
 
 _G = f"({_GRID}) AS g"
 _H = "(SELECT s_suppkey AS f FROM {supplier}) AS h"
+_HEAD = "CAST(CASE WHEN f % 10 = 0 THEN 32 ELSE 2 END AS INT)"
 CELLS = " UNION ALL ".join(
     [
         _cell(1, "'Bill of material'", _H, "1"),
-        _cell(1, _ITEM, _H, "2"), _cell(2, "'DESCRIPTION'", _H, "2"), _cell(3, _QTY, _H, "2"),
-        _cell(4, "'UOM'", _H, "2", where="f % 2 = 0"),
-        _cell(1, "CAST(r * 10 AS STRING)", _G, where="n % 7 <> 0"),
-        _cell(2, "'part ' || CAST(p AS STRING)", _G, where="n % 7 <> 0"),
-        _cell(3, _QTY_TEXT, _G, where="n % 7 <> 0"), _cell(4, "'ud'", _G, where="n % 7 <> 0"),
-        _cell(7, "'orphan'", _G), _cell(1, "' '", _G, where="n % 7 = 0"),
+        _cell(1, _ITEM, _H, _HEAD), _cell(2, "'DESCRIPTION'", _H, _HEAD), _cell(3, _QTY, _H, _HEAD),
+        _cell(4, "'UOM'", _H, _HEAD, where="f % 2 = 0"), _cell(5, "'NOTE'", _H, _HEAD, where="f % 6 = 1"),
+        _cell(1, "CAST(r * 10 AS STRING)", _G, where="p % 11 <> 0"),
+        _cell(2, "'part ' || CAST(p AS STRING)", _G, where="p % 11 <> 0"),
+        _cell(3, _QTY_TEXT, _G, where="p % 11 <> 0"), _cell(4, "'ud'", _G, where="p % 11 <> 0"),
+        _cell(7, "'orphan'", _G), _cell(1, "' '", _G, where="p % 11 = 0"),
         _cell(1, "'a'", _H, "1", "early", 0, "f % 5 = 0"), _cell(2, "'b'", _H, "1", "early", 0, "f % 5 = 0"),
         _cell(1, "'x'", _H, "1", "late", 2, "f % 2 = 1"), _cell(2, "'y'", _H, "1", "late", 2, "f % 2 = 1"),
         _cell(3, "'z'", _H, "1", "late", 2, "f % 2 = 1"),
@@ -46,16 +47,17 @@ CELLS = " UNION ALL ".join(
 _GS, _HS = lens.sql(_G), lens.sql(_H)
 _HAS_QTY = "f % 4 <> 3"
 _WIDTH4 = "f % 2 = 0"
+_IN_4 = "(f % 2 = 0 OR f % 6 = 1)"
 _Q = f"CASE p % 5 WHEN 0 THEN CAST(q AS BIGINT) + 0.5 WHEN 1 THEN CAST(q AS BIGINT) WHEN 2 THEN 0 WHEN 3 THEN CAST(q AS BIGINT) END"
 _REF = "CASE WHEN f % 3 = 2 THEN CAST(r AS VARCHAR) ELSE CAST(r * 10 AS VARCHAR) END"
-_BODY = f"{_GS} WHERE n % 7 <> 0"
+_BODY = f"{_GS} WHERE p % 11 <> 0"
 
 
 def _cells(spark, sf):
     return lens.frame(spark, sf, CELLS)
 
 
-@query("S1_header_rows", f"SELECT 'f' || CAST(f AS VARCHAR) AS file, 'main' AS sheet, 1 AS sheet_idx, 2 AS header_row FROM {_HS} UNION ALL SELECT 'f' || CAST(f AS VARCHAR), 'late', 2, 1 FROM {_HS} WHERE f % 2 = 1")
+@query("S1_header_rows", f"SELECT 'f' || CAST(f AS VARCHAR) AS file, 'main' AS sheet, 1 AS sheet_idx, {_HEAD} AS header_row FROM {_HS} UNION ALL SELECT 'f' || CAST(f AS VARCHAR), 'late', 2, 1 FROM {_HS} WHERE f % 2 = 1")
 def _(spark, sf):
     return S.header_rows(_cells(spark, sf))
 
@@ -66,7 +68,7 @@ def _(spark, sf):
     return S.ignored_sheets(c, S.header_rows(c))
 
 
-_TEXT = "CAST(r * 10 AS VARCHAR) || ' | part ' || CAST(p AS VARCHAR) || CASE WHEN p % 5 <> 4 THEN ' | ' || {q} ELSE '' END || CASE WHEN f % 2 = 0 THEN ' | ud' ELSE '' END".format(q=_QTY_TEXT.replace("STRING", "VARCHAR"))
+_TEXT = "CAST(r * 10 AS VARCHAR) || ' | part ' || CAST(p AS VARCHAR) || CASE WHEN p % 5 <> 4 THEN ' | ' || {q} ELSE '' END || CASE WHEN f % 2 = 0 OR f % 6 = 1 THEN ' | ud' ELSE '' END".format(q=_QTY_TEXT.replace("STRING", "VARCHAR"))
 
 
 @query(
@@ -87,20 +89,20 @@ _LEN2 = "length('part ' || CAST(p AS VARCHAR))"
     f"SELECT 'f' || CAST(f AS VARCHAR) AS file, CAST(r AS INT) AS row_number, {_ITEM} AS header, 0 AS start, CAST({_LEN1} AS INT) AS \"end\" FROM {_BODY} UNION ALL "
     f"SELECT 'f' || CAST(f AS VARCHAR), CAST(r AS INT), 'DESCRIPTION', CAST({_LEN1} + 3 AS INT), CAST({_LEN1} + 3 + {_LEN2} AS INT) FROM {_BODY} UNION ALL "
     f"SELECT 'f' || CAST(f AS VARCHAR), CAST(r AS INT), {_QTY}, CAST({_LEN1} + 6 + {_LEN2} AS INT), CAST({_LEN1} + 6 + {_LEN2} + length({_QTY_TEXT.replace('STRING', 'VARCHAR')}) AS INT) FROM {_BODY} AND p % 5 <> 4 UNION ALL "
-    f"SELECT 'f' || CAST(f AS VARCHAR), CAST(r AS INT), 'UOM', CAST(length({_TEXT}) - 2 AS INT), CAST(length({_TEXT}) AS INT) FROM {_BODY} AND {_WIDTH4}",
+    f"SELECT 'f' || CAST(f AS VARCHAR), CAST(r AS INT), CASE WHEN {_WIDTH4} THEN 'UOM' ELSE 'col4' END, CAST(length({_TEXT}) - 2 AS INT), CAST(length({_TEXT}) AS INT) FROM {_BODY} AND {_IN_4}",
 )
 def _(spark, sf):
     rows = S.source_rows(_cells(spark, sf))
     return rows.select("file", "row_number", F.explode("cell_offsets").alias("header", "s")).select("file", "row_number", "header", "s.start", "s.end")
 
 
-@query("S8_quantity_candidates", f"SELECT 'f' || CAST(f AS VARCHAR) AS file, 1 AS col, {_ITEM} AS header, CAST(count(*) AS BIGINT) AS num, CAST(count(*) AS BIGINT) AS total FROM {_GS} WHERE f % 4 = 3 AND r <= 22 AND n % 7 <> 0 GROUP BY f "
-    f"UNION ALL SELECT 'f' || CAST(f AS VARCHAR), 3, 'TOTAL', CAST(count(*) FILTER (p % 5 IN (0, 3)) AS BIGINT), CAST(count(*) AS BIGINT) FROM {_GS} WHERE f % 4 = 3 AND r <= 22 AND n % 7 <> 0 AND p % 5 <> 4 GROUP BY f HAVING count(*) FILTER (p % 5 IN (0, 3)) / count(*) > 0.8")
+@query("S8_quantity_candidates", f"SELECT 'f' || CAST(f AS VARCHAR) AS file, 1 AS col, {_ITEM} AS header, CAST(count(*) AS BIGINT) AS num, CAST(count(*) AS BIGINT) AS total FROM {_GS} WHERE f % 4 = 3 AND p % 11 <> 0 GROUP BY f "
+    f"UNION ALL SELECT 'f' || CAST(f AS VARCHAR), 3, 'TOTAL', CAST(count(*) FILTER (p % 5 IN (0, 3)) AS BIGINT), CAST(count(*) AS BIGINT) FROM {_GS} WHERE f % 4 = 3 AND p % 11 <> 0 AND p % 5 <> 4 GROUP BY f HAVING count(*) FILTER (p % 5 IN (0, 3)) / count(*) > 0.8")
 def _(spark, sf):
     return S.quantity_candidates(_cells(spark, sf))
 
 
-@query("S9_skipped_rows", f"SELECT 'f' || CAST(f AS VARCHAR) AS file, 'main' AS sheet, CAST(r AS INT) AS row_number, 'EMPTY_ROW' AS reason FROM {_GS} WHERE n % 7 = 0")
+@query("S9_skipped_rows", f"SELECT 'f' || CAST(f AS VARCHAR) AS file, 'main' AS sheet, CAST(r AS INT) AS row_number, 'EMPTY_ROW' AS reason FROM {_GS} WHERE p % 11 = 0")
 def _(spark, sf):
     return S.skipped_rows(_cells(spark, sf))
 
@@ -108,7 +110,7 @@ def _(spark, sf):
 @query("S21_format_check", f"SELECT 'f' || CAST(f AS VARCHAR) AS file, true AS rows_ok, true AS text_ok, bool_and(p % 5 = 4 OR {_HAS_QTY}) AS quantity_ok, true AS spans_ok FROM {_BODY} GROUP BY f")
 def _(spark, sf):
     rows = S.source_rows(_cells(spark, sf))
-    grid = lens.frame(spark, sf, f"SELECT {_FILE.format('f')} AS file, CASE WHEN f % 3 = 2 THEN CAST(r AS STRING) ELSE CAST(r * 10 AS STRING) END AS row_ref, CAST(CASE p % 5 WHEN 0 THEN CAST(q AS BIGINT) + 0.5 WHEN 1 THEN CAST(q AS BIGINT) WHEN 2 THEN 0 WHEN 3 THEN CAST(q AS BIGINT) END AS DOUBLE) AS quantity FROM {_G} WHERE n % 7 <> 0")
+    grid = lens.frame(spark, sf, f"SELECT {_FILE.format('f')} AS file, CASE WHEN f % 3 = 2 THEN CAST(r AS STRING) ELSE CAST(r * 10 AS STRING) END AS row_ref, CAST(CASE p % 5 WHEN 0 THEN CAST(q AS BIGINT) + 0.5 WHEN 1 THEN CAST(q AS BIGINT) WHEN 2 THEN 0 WHEN 3 THEN CAST(q AS BIGINT) END AS DOUBLE) AS quantity FROM {_G} WHERE p % 11 <> 0")
     return S.format_check(rows, grid)
 
 

@@ -13,12 +13,14 @@ def _filled() -> Column:
     return F.trim(F.coalesce("value", F.lit(""))) != ""
 
 
-def header_rows(cells: DataFrame) -> DataFrame:
-    """Per sheet, the first of the leading rows with enough non-blank cells.
+def header_rows(cells: DataFrame, search_rows: int | None = None) -> DataFrame:
+    """Per sheet, the first row with enough non-blank cells.
 
-    The row filter reaches the scan, so only the head of every sheet is shuffled.
+    Looks at the whole sheet; with ``search_rows`` only at so many leading rows, a filter that reaches
+    the scan. Counts are combined before they are shuffled.
     """
-    counted = cells.filter((F.col("row") <= T.HEADER_SEARCH_ROWS) & _filled()).groupBy("file", "sheet", "sheet_idx", "row").count()
+    looked = cells if search_rows is None else cells.filter(F.col("row") <= search_rows)
+    counted = looked.filter(_filled()).groupBy("file", "sheet", "sheet_idx", "row").count()
     return counted.filter(F.col("count") >= T.MIN_HEADER_CELLS).groupBy("file", "sheet", "sheet_idx").agg(
         F.min("row").alias("header_row")
     )
@@ -51,7 +53,7 @@ def columns(cells: DataFrame, sheets: DataFrame) -> DataFrame:
 
     S5/S7/S10: the first token in priority order decides, then the leftmost column.
     """
-    head = cells.join(sheets, ["file", "sheet"]).filter(F.col("row") == F.col("header_row"))
+    head = cells.join(sheets.withColumnRenamed("header_row", "row"), ["file", "sheet", "row"])
     head = head.select("file", "col", F.trim(F.coalesce("value", F.lit(""))).alias("header"))
     head = head.withColumn("key", header_key(F.col("header")))
 
@@ -89,16 +91,27 @@ def parse_quantity(raw: Column) -> Column:
     return F.when(F.trim(plain) != "", number)
 
 
+def layouts(cells: DataFrame) -> DataFrame:
+    """One record per file: its sheet, header row, width, header of each column and the columns with a role."""
+    sheets = selected_sheets(header_rows(cells))
+    heads = columns(cells, sheets).groupBy("file").agg(
+        F.map_from_entries(F.collect_list(F.struct("col", "header"))).alias("headers"),
+        *[F.max(c).alias(c) for c in ("width", "qty_col", "unit_col", "item_col")],
+    )
+    return sheets.join(heads, "file")
+
+
 def source_rows(cells: DataFrame) -> DataFrame:
     """Rows with their text, cell offsets, quantity, unit and item reference.
 
-    Cells meet the file's header columns in one equi-join (header data is a few records per file),
-    then each (file, row) is assembled from its own cells; no file is gathered in one place.
+    Cells meet their file's one layout record in an equi-join, then each (file, row) is assembled from
+    its own cells; no file is gathered in one place. Cells under a column without a header are labelled
+    by their position; cells beyond the header row's width are not part of the table.
     """
-    sheets = selected_sheets(header_rows(cells))
-    cols = columns(cells, sheets).select("file", "col", "header", "qty_col", "unit_col", "item_col")
-    body = cells.join(sheets, ["file", "sheet"]).filter(F.col("row") > F.col("header_row"))
-    joined = body.join(cols, ["file", "col"])  # cells beyond the header's width drop out here
+    body = cells.join(layouts(cells), ["file", "sheet"])
+    joined = body.filter((F.col("row") > F.col("header_row")) & (F.col("col") <= F.col("width"))).withColumn(
+        "header", F.element_at("headers", F.col("col"))
+    )
     at = lambda c: F.max(F.when(F.col("col") == F.col(c), F.col("value")))
     rows = joined.groupBy("file", "sheet", "row").agg(
         F.array_sort(F.collect_list(F.when(_filled(), F.struct("col", "header", "value")))).alias("cells"),
@@ -135,28 +148,25 @@ def _label(cell: Column) -> Column:
 
 def skipped_rows(cells: DataFrame) -> DataFrame:
     """Data rows of the selected sheet whose header-width cells are all blank."""
-    sheets = selected_sheets(header_rows(cells))
-    cols = columns(cells, sheets).select("file", "col")
-    body = cells.join(sheets, ["file", "sheet"]).filter(F.col("row") > F.col("header_row"))
-    inside = body.join(cols.withColumn("inside", F.lit(True)), ["file", "col"], "left")
+    body = cells.join(layouts(cells), ["file", "sheet"]).filter(F.col("row") > F.col("header_row"))
     return (
-        inside.groupBy("file", "sheet", "row")
-        .agg(F.count_if(F.col("inside") & _filled()).alias("n"))
+        body.groupBy("file", "sheet", "row")
+        .agg(F.count_if((F.col("col") <= F.col("width")) & _filled()).alias("n"))
         .filter("n = 0")
         .select("file", "sheet", F.col("row").alias("row_number"), F.lit("EMPTY_ROW").alias("reason"))
     )
 
 
-def quantity_candidates(cells: DataFrame) -> DataFrame:
+def quantity_candidates(cells: DataFrame, sample_rows: int | None = None) -> DataFrame:
     """For files without a quantity column, columns that mostly parse as numbers.
 
-    Looks at the twenty rows after the header, as a warning would; it never decides a value.
+    Looks at all data rows, or at ``sample_rows`` after the header; a warning, it never decides a value.
     """
     sheets = selected_sheets(header_rows(cells))
     cols = columns(cells, sheets).filter("qty_col is null").select("file", "col", "header")
-    sample = cells.join(sheets, ["file", "sheet"]).filter(
-        (F.col("row") > F.col("header_row")) & (F.col("row") <= F.col("header_row") + 20) & _filled()
-    )
+    sample = cells.join(sheets, ["file", "sheet"]).filter((F.col("row") > F.col("header_row")) & _filled())
+    if sample_rows is not None:
+        sample = sample.filter(F.col("row") <= F.col("header_row") + sample_rows)
     numeric = F.trim(F.regexp_replace("value", "^([^,]*),", "$1.")).rlike("^[+-]?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)(?:[eE][+-]?[0-9]+)?$")
     return (
         sample.join(cols, ["file", "col"])
