@@ -46,7 +46,7 @@ class Vocabulary:
     quality_aliases: tuple[Alias, ...] = ()  # text -> catalogue value
     quality_entries: tuple[Alias, ...] = ()  # text -> group, second layer
     standard_aliases: tuple[Alias, ...] = ()
-    derivations: tuple = T.MATERIAL_DERIVATIONS
+    derivations: tuple = tuple((*d, SEED_DATE) for d in T.MATERIAL_DERIVATIONS)
     uncovered: tuple = T.MATERIAL_UNCOVERED
 
     @staticmethod
@@ -97,7 +97,7 @@ class Vocabulary:
             quality_entries=self.quality_entries + of("quality_group"),
             standard_aliases=self.standard_aliases + of("standard"),
             derivations=self.derivations
-            + tuple((r["id"], r["kind"], r["alias"], r["value"]) for r in rows if r["attribute"] == "material"),
+            + tuple((r["id"], r["kind"], r["alias"], r["value"], r["decided_at"]) for r in rows if r["attribute"] == "material"),
             uncovered=self.uncovered
             + tuple((r["kind"], r["alias"]) for r in rows if r["attribute"] == "uncovered"),
         )
@@ -136,7 +136,7 @@ def vocabulary_frame(spark: SparkSession, vocabulary: Vocabulary | None = None)
     v = vocabulary or Vocabulary.closed()
     rows = [("name", a.entry_id, a.text, "alias", a.value, a.source, SEED_DATE) for a in v.names]
     rows += [("material", a.entry_id, a.text, "word", a.value, a.source, SEED_DATE) for a in v.materials]
-    rows += [("material", i, value, kind, m, "added", SEED_DATE) for i, kind, value, m in v.derivations]
+    rows += [("material", i, value, kind, m, "added", at) for i, kind, value, m, at in v.derivations]
     rows += [("finish", e.id, e.alias, e.kind, e.finish, e.source, e.decided_at) for e in v.finishes]
     rows += [
         ("quality", None, value, "group", group, "client", SEED_DATE)

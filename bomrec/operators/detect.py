@@ -276,8 +276,9 @@ def find_aliases_join(rows: DataFrame, key: str, text: str, aliases: DataFrame)
 
 
 def exact_alias(values: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
-    """Exact lookup on the folded value; a client alias beats an added one."""
-    rank = F.struct(F.when(F.col("source") == "client", 0).otherwise(1), "ord")
+    """Exact lookup on the folded value; the last client alias wins, else the first added one."""
+    client = F.col("source") == "client"
+    rank = F.struct(F.when(client, 0).otherwise(1), F.when(client, -F.col("ord")).otherwise(F.col("ord")))
     table = (
         aliases.withColumn("needle", X.fold("alias"))
         .groupBy("needle")

@@ -134,7 +134,7 @@ def resolve_finish(raw: Column, vocabulary: Vocabulary) -> Column:
         known = F.startswith(decision, F.lit("alias:"))
         return F.struct(
             F.when(known, "known").when(decision.isNull(), "unknown").otherwise(decision).alias("kind"),
-            F.when(known, F.substring(decision, 7, 1000)).alias("finish"),
+            F.when(known, F.regexp_replace(decision, "^alias:", "")).alias("finish"),
             F.when(decision != "ambiguous", X.lookup({k: es[0].alias for k, es in table.items()}, key)).alias("alias"),
             F.when(decision != "ambiguous", X.lookup({k: es[0].id for k, es in table.items()}, key)).alias("entry_id"),
         )
@@ -194,7 +194,7 @@ def derive_material(raw_quality: Column, group: Column, vocabulary: Vocabulary)
             F.array(
                 *[
                     F.when(applies(text, kind, value), F.struct(F.lit(i).alias("id"), F.lit(m).alias("material")))
-                    for i, kind, value, m in sorted(vocabulary.derivations, key=lambda d: d[0])
+                    for i, kind, value, m, _ in sorted(vocabulary.derivations, key=lambda d: (str(d[4]), d[0]))
                 ]
             )
         )

@@ -157,15 +157,17 @@ def repetitions(measures: DataFrame, keys: list[str], value: str) -> DataFrame:
 def split_stability(passes: DataFrame, expected: DataFrame) -> DataFrame:
     """Does a row split the same way on every pass, and how often as expected?
 
-    ``passes`` (row_ref, pass_no, n_elements, failed); failed passes are excluded.
+    ``passes`` (row_ref, pass_no, n_elements, failed); failed passes do not count. Every row is listed:
+    one without a pass that worked is unstable, one without an expectation has no hits. ``counts`` has
+    the elements of each pass in order, null where it failed.
     """
-    ok = passes.filter(~F.col("failed"))
-    stats = ok.join(expected, "row_ref").groupBy("row_ref").agg(
-        F.min("n_elements").alias("low"), F.max("n_elements").alias("high"),
-        F.count(F.lit(1)).alias("passes"),
-        F.count_if(F.col("n_elements") == F.col("expected")).alias("hits"),
+    n = F.when(~F.col("failed"), F.col("n_elements"))
+    stats = passes.join(expected, "row_ref", "left").groupBy("row_ref").agg(
+        F.min(n).alias("low"), F.max(n).alias("high"), F.count(n).alias("passes"), F.count_if(n == F.col("expected")).alias("hits"),
+        F.array_sort(F.collect_list(F.struct("pass_no", n.alias("n")))).alias("by_pass"),
     )
-    return stats.select("row_ref", "passes", "hits", (F.col("low") == F.col("high")).alias("stable"))
+    stable = F.coalesce(F.col("low") == F.col("high"), F.lit(False))
+    return stats.select("row_ref", "passes", "hits", stable.alias("stable"), F.transform("by_pass", lambda p: p["n"]).alias("counts"))
 
 
 def split_discrepancies(first: DataFrame, second: DataFrame) -> DataFrame:

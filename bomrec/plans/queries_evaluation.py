@@ -316,9 +316,9 @@ _PASSES = "SELECT CAST(l_orderkey AS STRING) AS row_ref, l_suppkey AS pass_no, l
 _EXPECTED_N = "SELECT CAST(o_orderkey AS STRING) AS row_ref, CAST(o_orderkey % 2 + 1 AS INT) AS expected FROM {orders}"
 
 
-@query("A31_split_stability", f"SELECT p.row_ref, CAST(count(*) AS BIGINT) AS passes, CAST(count(*) FILTER (n_elements = expected) AS BIGINT) AS hits, min(n_elements) = max(n_elements) AS stable FROM ({lens.sql(_PASSES)}) AS p JOIN ({lens.sql(_EXPECTED_N)}) AS e ON e.row_ref = p.row_ref WHERE NOT failed GROUP BY p.row_ref")
+@query("A31_split_stability", f"SELECT p.row_ref, CAST(count(*) FILTER (NOT failed) AS BIGINT) AS passes, CAST(count(*) FILTER (NOT failed AND n_elements = expected) AS BIGINT) AS hits, coalesce(min(n_elements) FILTER (NOT failed) = max(n_elements) FILTER (NOT failed), false) AS stable FROM ({lens.sql(_PASSES)}) AS p LEFT JOIN ({lens.sql(_EXPECTED_N)}) AS e ON e.row_ref = p.row_ref GROUP BY p.row_ref")
 def _(spark, sf):
-    return runs.split_stability(lens.frame(spark, sf, _PASSES), lens.frame(spark, sf, _EXPECTED_N))
+    return runs.split_stability(lens.frame(spark, sf, _PASSES), lens.frame(spark, sf, _EXPECTED_N)).drop("counts")
 
 
 @query("A32_split_discrepancies", f"SELECT row_ref, CAST(coalesce(a, 0) AS BIGINT) AS n_first, CAST(coalesce(b, 0) AS BIGINT) AS n_second FROM (SELECT row_ref, count(*) AS a FROM ({lens.sql(lens.SYSTEM_A)}) AS x GROUP BY row_ref) AS x FULL JOIN (SELECT row_ref, count(*) AS b FROM ({lens.sql(lens.SYSTEM_B)}) AS y GROUP BY row_ref) AS y USING (row_ref) WHERE coalesce(a, 0) <> coalesce(b, 0)")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bomrec.functions import closed_tables as T
@@ -47,19 +47,23 @@ def vocabulary_seed(spark: SparkSession, path: str, attribute: str) -> DataFrame
 def vocabulary_log(spark: SparkSession, path: str, attribute: str) -> DataFrame:
     """add/retire/uncover events with a sequence that follows the file order.
 
-    Logs are append-only files; lines of one file are ordered by their position in it.
+    Logs are append-only files, ordered by their names; lines of one file by their position in it. A
+    block of a file is read in order by one task, so blocks are numbered and lines counted within them.
     """
     schema = f"action string, at string, `by` string, detail string, entryId string, matchKind string, matchValue string, entry struct<{_colons(ENTRY_SCHEMA)}>"
     raw = (
         spark.read.text(path)
         .select(
             F.from_json("value", schema).alias("e"),
-            F.col("_metadata.file_path").alias("file"),
-            F.monotonically_increasing_id().alias("line"),
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("line"),
         )
     )
-    return raw.select(
-        F.col("line").alias("seq"), F.col("e.action").alias("action"), F.col("e.at").alias("at"),
+    in_order = F.row_number().over(Window.orderBy("file", "block"))
+    numbered = raw.select("file", "block").distinct().withColumn("nth", in_order)
+    seq = F.shiftleft(F.col("nth").cast("long"), 33) + F.col("line")
+    return raw.join(numbered, ["file", "block"]).select(
+        seq.alias("seq"), F.col("e.action").alias("action"), F.col("e.at").alias("at"),
         F.coalesce("e.entry.id", "e.entryId", F.concat(F.lit("uncovered:"), "e.matchValue")).alias("id"),
         F.coalesce("e.entry.alias", "e.entry.matchValue", "e.matchValue").alias("alias"),
         F.coalesce("e.entry.kind", "e.entry.matchKind", "e.matchKind").alias("kind"),

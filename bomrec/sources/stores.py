@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,21 +13,24 @@ from bomrec.operators import panel, revisions
 def save_run(header: DataFrame, metrics: DataFrame, lines: DataFrame, path: str, run_id: str) -> None:
     """Append a run so that readers see all of it or nothing.
 
-    The parts are written under the run's own partition and the commit marker goes last; a retry
-    overwrites only this run's partition, so a lost executor or driver leaves no half run visible.
+    Each attempt writes its parts under an id of its own; the commit marker goes last and names the
+    attempt. Saving a run again leaves the parts that the old marker names untouched until the new one
+    stands, so no reader meets half a run.
     """
+    attempt = uuid.uuid4().hex
     for name, part in (("metrics", metrics), ("lines", lines), ("header", header)):
-        part.drop("run_id").write.mode("overwrite").parquet(f"{path}/{name}/run_id={run_id}")
-    header.select(F.lit(run_id).alias("committed_run")).limit(1).write.mode("overwrite").parquet(
+        part.drop("run_id").write.parquet(f"{path}/{name}/run_id={run_id}/attempt={attempt}")
+    header.select(F.lit(run_id).alias("committed_run"), F.lit(attempt).alias("attempt")).limit(1).write.mode("overwrite").parquet(
         f"{path}/commits/run={run_id}"
     )
 
 
 def load_runs(spark: SparkSession, path: str, part: str) -> DataFrame:
     """A part of every committed run."""
-    commits = spark.read.parquet(f"{path}/commits").select(F.col("committed_run").alias("run_id"))
+    commits = spark.read.parquet(f"{path}/commits").select(F.col("committed_run").alias("run_id"), "attempt")
     rows = spark.read.option("basePath", f"{path}/{part}").parquet(f"{path}/{part}/*")
-    return rows.withColumn("run_id", F.col("run_id").cast("string")).join(commits, "run_id", "left_semi")
+    rows = rows.withColumns({c: F.col(c).cast("string") for c in ("run_id", "attempt")})
+    return rows.join(commits, ["run_id", "attempt"], "left_semi").drop("attempt")
 
 
 def save_snapshot(lines: DataFrame, path: str) -> None:

@@ -34,6 +34,13 @@ def test_gold_seed_log_answers_and_csv(spark, tmp_path):
     state = current_entries(log.unionByName(log)).first()
     assert (state.id, state.alias, state.value, state.retired_at) == ("n", "mate", "MATE", "2")
 
+    # A later file may be larger, so that its blocks are read first; its events still come after.
+    late = [{**e, "detail": "x" * 5000} for e in events[1:]]
+    _write(tmp_path / "log2.jsonl", "\n".join(map(json.dumps, late)))
+    _write(tmp_path / "log1.jsonl", json.dumps(events[0]))
+    ordered = records.vocabulary_log(spark, str(tmp_path / "log[12].jsonl"), "finish").orderBy("seq").collect()
+    assert [r.action for r in ordered] == ["add", "retire"]
+
     answers = {"respuestas": {"7": {"outOfFamily": False, "elements": [{"detectedName": "NUT", "normalizedName": "TUERCA", "role": "principal", "evidence": "NUT", "multiplicity": 2, "attributes": {"quality": {"value": "8", "evidence": "8"}}}]}}}
     a = records.reader_answers(spark, _write(tmp_path / "answers.json", json.dumps(answers))).first()
     assert (a.row_ref, a.elements[0].detected_name, a.elements[0].quality.value) == ("7", "NUT", "8")
@@ -48,7 +55,7 @@ def test_run_store_is_all_or_nothing(spark, tmp_path):
     metrics = spark.createDataFrame([("r1", "m", 1.0)], "run_id string, name string, value double")
     lines = spark.createDataFrame([("r1", "1.1")], "run_id string, line_id string")
     stores.save_run(header, metrics, lines, path, "r1")
-    metrics.drop("run_id").write.parquet(f"{path}/metrics/run_id=half")  # a run that died before its commit
+    metrics.drop("run_id").write.parquet(f"{path}/metrics/run_id=half/attempt=a")  # a run that died before its commit
     assert [r.run_id for r in stores.load_runs(spark, path, "metrics").collect()] == ["r1"]
     stores.save_run(header, metrics, lines, path, "r1")
     assert stores.load_runs(spark, path, "lines").count() == 1
