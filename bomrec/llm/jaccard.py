@@ -120,10 +120,10 @@ def profiled(docs: DataFrame, id_col: str, text_col: str, rule: Rule, seed: int)
 
 
 def levels(counts: DataFrame) -> np.ndarray:
-    """How much more frequent than chance the shingles of each counter are, as powers of two.
+    """How far each counter stands above or below the mean of all, in sixteenths of chance's deviation.
 
-    Counters fill up evenly as the corpus grows; what stands out above their mean is a shingle that many
-    documents share. The sums have a fixed size whatever the corpus.
+    Counters fill up evenly as the corpus grows; what stands out is a shingle that many documents share.
+    The sums have a fixed size whatever the corpus.
     """
 
     def add(group):
@@ -138,18 +138,14 @@ def levels(counts: DataFrame) -> np.ndarray:
     for row in halfway.groupBy("piece").applyInPandas(add, "piece int, counts binary").toLocalIterator():
         flat[row["piece"] * PIECE : (row["piece"] + 1) * PIECE] = np.frombuffer(row["counts"], np.int64)
     mean = flat.mean()
-    above = np.maximum(flat - mean, 0)
-    out = np.zeros(len(flat), np.uint8)
-    loud = above > 4 * np.sqrt(mean) + 8
-    out[loud] = 1 + np.log2(above[loud]).astype(np.uint8)
-    return out.reshape(2, -1)
+    return np.clip(np.rint(16 * (flat - mean) / np.sqrt(mean + 1)), -32_000, 32_000).astype(np.int16).reshape(2, -1)
 
 
 def postings(docs: DataFrame, text_col: str, rule: Rule, seed: int, loud: np.ndarray) -> DataFrame:
     """The incidence matrix, cut by the size-derived bound: per distinct set of a batch its first n-grams.
 
-    The common order is by level, then hash, so shingles that many documents share come last and are
-    dropped unless a document consists of them. ``at`` is the place in that order.
+    The common order is by the count of the n-gram's counters, then hash, so shingles that many documents
+    share come last and are dropped unless a document consists of them. ``at`` is the place in that order.
     """
 
     def emit(batches):
