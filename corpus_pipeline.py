@@ -11,6 +11,9 @@ from bomrec.llm import decontaminate, jaccard, language, mixing, sharding
 from bomrec.llm.common import document_table, fresh, shared_dir
 
 
+CLEAR_FROM = 200
+
+
 def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     """Documents with a key of their id and their text, so that rows with one id and two texts stay apart."""
     (key,) = fresh(docs, "row_key")
@@ -24,9 +27,14 @@ def matching(docs: DataFrame, key: str, found: DataFrame, how: str) -> DataFrame
 
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter whose nearest language stands out; learned from those that state a language."""
+    """Documents in a known language; learned from those that state one.
+
+    Rejected are texts without a letter, and texts of ``CLEAR_FROM`` characters or more between two
+    languages. Shorter ones have too few n-grams to be held against them and stay.
+    """
     told = language.identify(docs, docs.select("text", "lang"))
-    return told.where((F.col("lang_pred") != language.UNKNOWN) & ~F.col("ambiguous")).select(*docs.columns)
+    unclear = F.col("ambiguous") & (F.length("text") >= CLEAR_FROM)
+    return told.where((F.col("lang_pred") != language.UNKNOWN) & ~unclear).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
