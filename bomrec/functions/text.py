@@ -88,6 +88,11 @@ def trim_number(value: Column | str) -> Column:
     return F.regexp_replace(fixed, "\\.?0+$", "")
 
 
+def unmatched_key(spread_by: str) -> Column:
+    """A key that no text has, for rows that should find nothing: spread instead of one null key."""
+    return F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(spread_by), F.lit(4096)).cast("string"))
+
+
 def slug(value: Column | str, limit: int, empty: str = "x") -> Column:
     dashed = F.regexp_replace(F.lower(strip_accents(F.trim(col(value)))), "[^a-z0-9]+", "-")
     cut = F.substring(F.regexp_replace(dashed, "^-+|-+$", ""), 1, limit)

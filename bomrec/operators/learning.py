@@ -367,12 +367,13 @@ def propagate(lines: DataFrame, patches: DataFrame, attribute: str, trigger: str
     """Fill a missing attribute of every line whose trigger text a new entry decides.
 
     ``patches`` (match, value, provenance), one per match. The line leaves review when nothing else
-    holds it.
+    holds it. Lines that wait for nothing get keys that no entry has, spread by line, so that they do
+    not meet under one null key.
     """
     table = patches.groupBy(X.compare_key("match").alias("needle")).agg(
         F.min_by(F.struct("value", "provenance"), "match").alias("patch")
     )
-    mine = F.when(F.col(attribute).isNull(), X.compare_key(trigger))
+    mine = F.coalesce(F.when(F.col(attribute).isNull(), X.compare_key(trigger)), X.unmatched_key("line_id"))
     hit = F.col("patch").isNotNull()
     others = F.filter("reasons", lambda r: ~F.coalesce(r["attribute"] == attribute, F.lit(False)))
     return (

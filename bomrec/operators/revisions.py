@@ -77,9 +77,10 @@ def with_exported(delta: DataFrame, previous: DataFrame, exported: DataFrame, ke
     """Flag paired deltas whose previous line was resolved and already sent for quotation."""
     resolved = previous.filter("status = 'RESUELTA'").select(F.col("line_id").alias("previous_line")).distinct()
     sent = exported.select(key).distinct()
-    marked = resolved.withColumn("was_resolved", F.lit(True))
+    marked = resolved.select(F.col("previous_line").alias("paired_line"), F.lit(True).alias("was_resolved"))
+    paired = F.coalesce("previous_line", X.unmatched_key(key))
     return (
-        delta.join(marked, "previous_line", "left")
+        delta.withColumn("paired_line", paired).join(marked, "paired_line", "left").drop("paired_line")
         .join(sent.withColumn("sent", F.lit(True)), key, "left")
         .withColumn(
             "rfq_exported",
