@@ -61,7 +61,9 @@ def solve_dual(sizes: DataFrame, targets: DataFrame, cap: float, tolerance: floa
     """
     small = targets.count() <= SMALL_SOURCES
     near = F.broadcast if small else (lambda df: df)
-    state = kept(targets.withColumns({"m": F.lit(0.0), "lo": F.lit(-400.0), "hi": F.lit(400.0), "off": F.lit(1.0)}))
+    # Begin where all rows of a source would have one rate; the tilt moves the root a little from there.
+    even = F.log(F.greatest(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)), F.lit(1e-9)))
+    state = kept(targets.withColumns({"m": even, "lo": F.lit(-400.0), "hi": F.lit(400.0), "off": F.lit(1.0)}))
     for _ in range(rounds):
         m, pull, weight = F.col("m"), F.pow(F.col("size") / F.col("mean_size"), F.col("bend")), F.col("size") * F.col("n")
         rate = tilted(m, pull, cap)
