@@ -82,12 +82,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = document_table(spark, sf_dir)
     labels = document_table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
     counted = token_counts.count_tokens(docs.select("doc_id", "source", "lang", "text"), "text", "tokens")
-    counted = kept(counted.select("doc_id", "source", "lang", "tokens", version))
+    squeezed = F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")
+    again = token_counts.count_tokens(counted.withColumn("text", F.when(squeezed != F.col("text"), squeezed)), "text", "again")
+    new = F.when(F.col("text").isNull(), F.col("tokens")).otherwise(F.col("again"))
+    counted = kept(again.select("doc_id", "source", "lang", "tokens", new.alias("squeezed_tokens"), version))
     toxic = counted.join(labels.where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
-    poor = docs.join(labels.where("quality = 0 AND NOT toxic <=> 1").select("doc_id"), "doc_id", "left_semi")
-    poor = token_counts.count_tokens(poor.select("source", "lang", "text", version), "text", "old_tokens")
-    squeezed = poor.withColumn("text", F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
-    revised = token_counts.count_tokens(squeezed, "text", "tokens")
+    poor = counted.join(labels.where("quality = 0 AND NOT toxic <=> 1").select("doc_id"), "doc_id", "left_semi")
+    revised = poor.withColumnsRenamed({"tokens": "old_tokens", "squeezed_tokens": "tokens"})
     rollup = token_counts.Rollup(spark, f"{shared_dir(spark)}/bomrec-rollup-{uuid.uuid4().hex}")
     rollup.apply("insert-all", token_counts.inserted(counted))
     rollup.apply("delete-toxic", token_counts.deleted(toxic))
