@@ -17,6 +17,9 @@ from bomrec.llm.tokens import SPACED, Words, blocks, grams, inside_text, mixed,
 
 LOG_COUNTERS = 20
 PIECE = 1 << 14
+BLOCK_CLASSES, BLOCK_GRAMS = 1 << 10, 1 << 18
+COLUMNS, PAIRS = 1 << 10, 1 << 22
+DENSE = 256
 SECOND = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -251,13 +254,118 @@ def candidates(lists: DataFrame, rule: Rule, star: str | None) -> DataFrame:
     return pairs.where((F.col("lx") != F.col("ly")) & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def ngram_jaccard_join(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, k: int = 5, seed: int = 1,
-) -> tuple[DataFrame, DataFrame]:
-    """Link documents whose sets of k-word shingles have a Jaccard similarity of ``percent`` % or more.
+def class_blocks(docs: DataFrame, text_col: str, rule: Rule, seed: int, classes: DataFrame) -> DataFrame:
+    """The classes of each component of two or more, with their whole sets, dealt out to pairs of blocks.
 
-    Words lie between white space, A-Z lower-cased; a text of fewer than k words is one shingle, a text
-    without words links with nothing. Documents with equal sets form one class and are compared once.
+    A large component is cut into blocks by a hash of the class, and each class goes to every pair of blocks
+    (p, q) that its own is in. Small components share a block.
+    """
+    some = classes.where("members > 1")
+    cut = lambda members, total: F.greatest(F.ceil(members / BLOCK_CLASSES), F.ceil(total / BLOCK_GRAMS), F.lit(1))
+    some = some.withColumn("parts", cut(F.col("members"), F.col("total")))
+    shared = some.where("parts = 1").agg(cut(F.coalesce(F.count("*"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).alias("n")).first()["n"]
+    own = F.pmod(F.xxhash64("key", F.lit(seed)), F.col("parts"))
+    home = F.when(F.col("parts") > 1, F.col("label")).otherwise(F.pmod(F.xxhash64("label", F.lit(seed)), F.lit(shared)))
+    some = kept(some.select("key", "n", "copies", "parts", own.alias("own"), home.alias("home")))
+    needed = some.select("key")
+    sets = written(sets_of(docs, text_col, rule, seed, bloom(needed, some.count())), "sets")
+    dealt = some.join(sets, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return dealt.select(
+        (F.col("parts") > 1).alias("alone"), "home", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"),
+        "own", "key", "n", "copies", "grams",
+    )
+
+
+def product(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """The product of two blocks of the matrix: at [i, j] the size of the intersection of sets a[i] and b[j].
+
+    N-grams of many sets are multiplied as dense columns; of the others the pairs of sets are listed.
+    """
+    out = np.zeros((len(a), len(b)), np.int64)
+    if a is b:
+        found, times = np.unique(np.concatenate(a), return_counts=True)
+        common = found[times > 1]
+    else:
+        common = np.intersect1d(np.concatenate(a), np.concatenate(b))
+
+    def columns(sets):
+        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.searchsorted(common, flat)
+        hit = common[np.minimum(at, len(common) - 1)] == flat
+        at, row = at[hit], row[hit]
+        order = np.argsort(at, kind="stable")
+        return row[order], np.searchsorted(at[order], np.arange(len(common) + 1))
+
+    if not len(common):
+        return out if a is not b else out + np.diag([len(x) for x in a])
+    (row_a, from_a), (row_b, from_b) = columns(a), columns(b)
+    n_a, n_b = np.diff(from_a), np.diff(from_b)
+    dense = n_a * n_b * DENSE > out.size
+    wide = np.flatnonzero(dense)
+    for i in range(0, len(wide), COLUMNS):
+        chosen, sides = wide[i : i + COLUMNS], []
+        for row, start, n, m in ((row_a, from_a, n_a, len(a)), (row_b, from_b, n_b, len(b))):
+            times = n[chosen]
+            k = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            ones = np.zeros((m, len(chosen)), np.float32)
+            ones[row[np.repeat(start[chosen], times) + k], np.repeat(np.arange(len(chosen)), times)] = 1
+            sides.append(ones)
+        out += np.rint(sides[0] @ sides[1].T).astype(np.int64)
+    thin = np.flatnonzero(~dense)
+    ends = np.cumsum(n_a[thin] * n_b[thin])
+    i = 0
+    while i < len(thin):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS, "right")))
+        chosen = thin[i:j]
+        times = n_a[chosen] * n_b[chosen]
+        k = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        c = np.repeat(chosen, times)
+        cells = row_a[from_a[c] + k // n_b[c]] * len(b) + row_b[from_b[c] + k % n_b[c]]
+        out += np.bincount(cells, minlength=out.size).reshape(out.shape)
+        i = j
+    if a is b:
+        np.fill_diagonal(out, [len(x) for x in a])
+    return out
+
+
+def linked_pairs(blocks_: DataFrame, rule: Rule, listed: bool) -> DataFrame:
+    """Links from the products of all pairs of blocks: each of them if ``listed``, else (key, met), where met is
+    the number of rows in the classes that a class is linked with in one product."""
+
+    def multiply(table):
+        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
+        own = table.column("own").to_numpy()
+        sides = []
+        for side in (p, q) if p < q else (p,):
+            mine = table.filter(pa.array(own == side))
+            sets = [np.frombuffer(x, np.uint64) for x in mine.column("grams").to_pylist()]
+            sides.append((sets, *(mine.column(c).to_numpy() for c in ("key", "n", "copies"))))
+        one, two = sides[0], sides[-1]
+        if not one[0] or not two[0]:
+            return pa.table({c: pa.array([], pa.int64()) for c in names})
+        both = product(one[0], two[0])
+        good = rule.linked(both, one[2][:, None], two[2][None, :])
+        if p == q:
+            np.fill_diagonal(good, False)
+        if not listed:
+            met = [(x[1], g @ y[3]) for x, y, g in ((one, two, good), (two, one, good.T))[: len(sides)]]
+            key, met = (np.concatenate(x) for x in zip(*met, strict=True))
+            return pa.table({"key": key[met > 0], "met": met[met > 0]})
+        x, y = np.nonzero(np.triu(good) if p == q else good)
+        turned = one[1][x] > two[1][y]
+        pick = lambda k, first: np.where(turned == first, two[k][y], one[k][x])
+        found = (pick(1, True), pick(1, False), pick(2, True), pick(2, False), both[x, y])
+        return pa.table(dict(zip(names, found, strict=True)))
+
+    names = ("a", "b", "n_a", "n_b", "shared") if listed else ("key", "met")
+    schema = ", ".join(f"{c} long" for c in names)
+    return blocks_.groupBy("alone", "home", "p", "q").applyInArrow(multiply, schema)
+
+
+def linked_components(
+    docs: DataFrame, id_col: str, text_col: str, rule: Rule, seed: int,
+) -> tuple[DataFrame, DataFrame]:
+    """The components that links lead between, without all of their links.
 
     The class by n-gram incidence matrix is kept only where its size-derived bound needs it: of n
     n-grams in a common order, rare ones first, the first n - ceil(percent * n / 100) + 1. Shuffled by
@@ -268,20 +376,15 @@ def ngram_jaccard_join(
     A product over a group of m near copies has m * m entries. So blocks are multiplied by one column
     first (each n-gram's plainest class, then another one), the components of the links found are formed,
     and the whole product is taken only between classes of different components. No pair that could join two
-    components is left out; pairs inside one are not listed.
-
-    Null counts as the empty text. Rows that repeat an id are rows of their own. A null id is never a
-    component's name unless all its ids are null. An empty table gives no rows.
+    components is left out; pairs inside one are left to ``linked_pairs``.
 
-    Returns (rows, links): per row (id, n_shingles, class_id, component_id), where class_id is the
-    smallest id of an equal set and component_id the smallest id that links lead to; and verified links
-    (a, b, n_a, n_b, shared) between keys of classes that span the components.
+    Returns (rows, classes): per row (id, n, key); and per class (key, class_id, component_id, n, copies, label,
+    members, total), where members and total are the number of classes and of n-grams in its component.
     """
-    rule = Rule(percent, k)
     profile = kept(profiled(docs, id_col, text_col, rule, seed))
     rows = profile.where("piece IS NULL").select(F.col(id_col).alias("id"), "n", "key", "other_key", "parity")
     grouped = rows.where("n > 0").groupBy("key").agg(
-        F.min("id").alias("class_id"), F.min("n").alias("n"), F.min("parity").alias("parity"),
+        F.min("id").alias("class_id"), F.min("n").alias("n"), F.min("parity").alias("parity"), F.count("*").alias("copies"),
         (F.min("other_key") != F.max("other_key")).alias("clash"),
     )
     classes = kept(grouped)
@@ -317,13 +420,53 @@ def ngram_jaccard_join(
 
     if labels is None:
         labelled = classes.withColumn("label", F.col("key"))
-        links = rows.sparkSession.createDataFrame([], "a long, b long, n_a long, n_b long, shared long")
     else:
         labelled = classes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    names = labelled.groupBy("label").agg(F.min("class_id").alias("component_id"))
-    named = kept(labelled.join(names, "label").select("key", "class_id", "component_id"))
-    out = rows.join(named, "key", "left").select(
+    names = labelled.groupBy("label").agg(
+        F.min("class_id").alias("component_id"), F.count("*").alias("members"), F.sum("n").alias("total")
+    )
+    named = labelled.join(names, "label").select("key", "class_id", "component_id", "n", "copies", "label", "members", "total")
+    return rows.select("id", "n", "key"), kept(named)
+
+
+def found_rows(rows: DataFrame, classes: DataFrame, id_col: str, *more: str) -> DataFrame:
+    return rows.join(classes.drop("n"), "key", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-        F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"),
+        F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"), *more,
     )
-    return out, links
+
+
+def jaccard_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, k: int = 5, seed: int = 1,
+) -> DataFrame:
+    """The rows of ``ngram_jaccard_join`` without their number of links, for those that need no more."""
+    return found_rows(*linked_components(docs, id_col, text_col, Rule(percent, k), seed), id_col)
+
+
+def ngram_jaccard_join(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, k: int = 5, seed: int = 1,
+) -> tuple[DataFrame, DataFrame]:
+    """Link documents whose sets of k-word shingles have a Jaccard similarity of ``percent`` % or more.
+
+    Words lie between white space, A-Z lower-cased; a text of fewer than k words is one shingle, a text
+    without words links with nothing. Documents with equal sets form one class and are compared once.
+
+    Components are found first (``linked_components``); every link lies inside one. So the class by n-gram
+    matrix of each component is multiplied with its transpose, block by block, which counts the overlap of
+    every pair of its classes.
+
+    Null counts as the empty text. Rows that repeat an id are rows of their own. A null id is never a
+    component's name unless all its ids are null. An empty table gives no rows.
+
+    Returns (rows, links): per row (id, n_shingles, class_id, component_id, n_links), where class_id is the
+    smallest id of an equal set, component_id the smallest id that links lead to and n_links the number of
+    other rows that the row is linked with, copies included; and all links (a, b, n_a, n_b, shared) between
+    keys of classes, a < b. The links are listed when they are read: m near copies have up to m * (m - 1) / 2.
+    """
+    rule = Rule(percent, k)
+    rows, classes = linked_components(docs, id_col, text_col, rule, seed)
+    blocks_ = class_blocks(docs, text_col, rule, seed, classes)
+    met = linked_pairs(blocks_, rule, listed=False).groupBy("key").agg(F.sum("met").alias("met"))
+    counted = kept(classes.join(met, "key", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("met", F.lit(0))))
+    n_links = F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
+    return found_rows(rows, counted, id_col, n_links), linked_pairs(blocks_, rule, listed=True)

@@ -38,7 +38,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_ngram_jaccard_join")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = jaccard.ngram_jaccard_join(document_table(spark, sf_dir))
-    return rows.select("doc_id", "n_shingles", "component_id")
+    return rows.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 @query("op3_interleaved_shards")

@@ -43,7 +43,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Documents without a word are linked with nothing and stay. Of rows that repeat an id and a text one stays.
     """
     rows, key = keyed(docs)
-    found, _ = jaccard.ngram_jaccard_join(rows, id_col=key)
+    found = jaccard.jaccard_components(rows, id_col=key)
     first = found.where(F.col(key) == F.col("component_id")).select(key).distinct()
     once = Window.partitionBy(f"{key}.id", f"{key}.text").orderBy(F.lit(1))
     (nth,) = fresh(rows, "nth")

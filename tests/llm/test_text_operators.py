@@ -7,6 +7,7 @@ import re
 
 import fixtures
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +51,18 @@ def chains(seed, groups=6, n=12):
     return out
 
 
+def near_copies(n=40):
+    """One text, each copy with one or two words changed, so that nearly all pairs are links; and another text."""
+    rng, out = random.Random(5), []
+    base = fixtures.prose(rng, 100).split(" ")
+    for i in range(n):
+        text = list(base)
+        for _ in range(1 + i % 2):
+            text[rng.randrange(len(text))] = f"w{rng.randrange(10**6)}"
+        out.append((i, " ".join(text), "en", "s"))
+    return [*out, (n, out[0][1], "en", "s"), (n + 1, fixtures.prose(rng, 50), "en", "s")]
+
+
 @pytest.mark.parametrize("some", [fixtures.rows(), chains(3), chains(4, 3, 30)], ids=["mixed", "chains", "long chains"])
 def test_jaccard_components(spark, some):
     rows, links = jaccard.ngram_jaccard_join(fixtures.table(spark, some, clashing=True))
@@ -64,6 +77,32 @@ def test_jaccard_components(spark, some):
         assert 175 * r["shared"] >= 75 * (r["n_a"] + r["n_b"])
 
 
+@pytest.mark.parametrize("cut", [None, (3, 1 << 18)], ids=["one block", "many blocks"])
+@pytest.mark.parametrize("some", [fixtures.rows(), chains(3), near_copies()], ids=["mixed", "chains", "near copies"])
+def test_jaccard_links(spark, some, cut, monkeypatch):
+    """All links of different texts, also inside a group of near copies, and each row's number of links."""
+    if cut:
+        monkeypatch.setattr(jaccard, "BLOCK_CLASSES", cut[0])
+        monkeypatch.setattr(jaccard, "BLOCK_GRAMS", cut[1])
+    rows, links = jaccard.ngram_jaccard_join(fixtures.table(spark, some, clashing=True))
+    sets = [shingles(t) for _, t, *_ in some]
+    linked = lambda a, b: bool(a and b) and 100 * len(a & b) >= 75 * len(a | b)
+    want = collections.Counter((i, sum(linked(s, t) for t in sets) - bool(s)) for (i, *_), s in zip(some, sets, strict=True))
+    assert collections.Counter((r["doc_id"], r["n_links"]) for r in rows.collect()) == want
+    found = list(jaccard.shingle_sets(pa.array([t for _, t, *_ in some], pa.string()), jaccard.Rule()))
+    keys = {jaccard.set_key(f, 1): sets[i] for i, f in found if len(f)}
+    pairs = [(a, b, len(keys[a]), len(keys[b]), len(keys[a] & keys[b])) for a in keys for b in keys if a < b and linked(keys[a], keys[b])]
+    assert collections.Counter(map(tuple, links.collect())) == collections.Counter(pairs)
+
+
+def test_jaccard_product():
+    draw = np.random.default_rng(2)
+    for spread in (40, 400, 40_000):
+        sets = [np.unique(draw.integers(0, spread, int(n))).astype(np.uint64) for n in draw.integers(1, 300, 30)]
+        for a, b in ((sets, sets), (sets[:11], sets[11:])):
+            assert jaccard.product(a, b).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
+
+
 def test_jaccard_of_no_rows(spark):
     rows, links = jaccard.ngram_jaccard_join(fixtures.table(spark, []))
     assert rows.collect() == [] and links.collect() == []
