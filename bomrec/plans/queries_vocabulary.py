@@ -298,7 +298,7 @@ def _(spark, sf):
 def _(spark, sf):
     new = lens.frame(
         spark, sf,
-        "SELECT 'finish' AS attribute, CASE WHEN r_regionkey % 2 = 0 THEN 'new-mate' ELSE 'new-low' END AS id, CASE WHEN r_regionkey % 2 = 0 THEN 'MATE' ELSE '5-LOW' END AS alias, 'alias' AS kind, 'MATE' AS value, 'added' AS source, '2027-01-01' AS decided_at FROM {region} WHERE r_regionkey < 2",
+        "SELECT DISTINCT 'finish' AS attribute, CASE WHEN r_regionkey % 2 = 0 THEN 'new-mate' ELSE 'new-low' END AS id, CASE WHEN r_regionkey % 2 = 0 THEN 'MATE' ELSE '5-LOW' END AS alias, 'alias' AS kind, 'MATE' AS value, 'added' AS source, '2027-01-01' AS decided_at FROM {region}",
     )
     return learning.finish_regressions(lens.frame(spark, sf, _FINISH_TEXTS), "raw", V, V.with_entries(new))
 

@@ -30,3 +30,13 @@ def test_query_equals_its_check(spark, con, key):
 
 def test_every_check_belongs_to_a_query():
     assert set(CHECKS) <= set(QUERIES)
+
+
+def test_finish_regression_reads_all_regions(spark, tmp_path):
+    """Entries from regions beyond the first two count as well."""
+    for name in sorted(os.listdir(SF)):
+        if name != "region.parquet":
+            (tmp_path / name).symlink_to(f"{SF}/{name}")
+    spark.read.parquet(f"{SF}/region.parquet").where("r_regionkey >= 2").write.parquet(str(tmp_path / "region.parquet"))
+    want = QUERIES["G5_finish_regression"](spark, SF).collect()
+    assert want and sorted(QUERIES["G5_finish_regression"](spark, str(tmp_path)).collect()) == sorted(want)
