@@ -369,13 +369,14 @@ def linked_components(
 
     The class by n-gram incidence matrix is kept only where its size-derived bound needs it: of n
     n-grams in a common order, rare ones first, the first n - ceil(percent * n / 100) + 1. Shuffled by
-    n-gram, its blocks are multiplied with their transposes: classes that share an n-gram are candidates
-    unless sizes or places bound the overlap below what a link needs. Overlaps are bounded from above by
-    parity bits and counted exactly for what remains.
-
-    A product over a group of m near copies has m * m entries. So blocks are multiplied by one column
-    first (each n-gram's plainest class, then another one), the components of the links found are formed,
-    and the whole product is taken only between classes of different components. No pair that could join two
+    n-gram, it works as an inverted list: classes that share an n-gram are candidates unless sizes or places
+    bound the overlap below what a link needs. No counts are added up over these n-grams, as they alone do
+    not decide a link. Overlaps are bounded from above by parity bits, and for what remains the whole sets
+    are intersected.
+
+    A group of m near copies has m * m / 2 pairs. So each n-gram pairs one class with the others first (its
+    plainest, then another one), the components of the links found are formed, and all pairs are taken only
+    between classes of different components. No pair that could join two
     components is left out; pairs inside one are left to ``linked_pairs``.
 
     Returns (rows, classes): per row (id, n, key); and per class (key, class_id, component_id, n, copies, label,
