@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bomrec.llm import decontaminate, exact_dedup, jaccard, language, mixing, quality, secrets, sharding, token_counts, warc
+from bomrec.llm import (
+    alignment, decontaminate, exact_dedup, jaccard, language, mixing, quality, secrets, sharding, simhash, token_counts, variants, warc,
+)
 from bomrec.llm.common import document_table, kept, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +176,19 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = kept(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("n_words")))
     mixed = mixing.entropy_mix(sized, size_col="n_words")
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+
+
+@query("op11_bk_tree_simhash")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(document_table(spark, sf_dir))
+
+
+@query("op12_tokenizer_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = alignment.align(document_table(spark, sf_dir))
+    return rows
+
+
+@query("op13_spelling_variants")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(document_table(spark, sf_dir))
