@@ -73,7 +73,9 @@ class Loaded:
         self.written_as = pa.array(written_as, pa.large_string())
 
         inner = (self.second.id_to_piece(i) for i in range(self.second.get_piece_size()))
-        self.cuts_b = SPACED if not any(re.search("[^▁]▁", x) for x in inner) else None
+        self.space = [self.second.piece_to_id("▁")]
+        apart = not any(re.search("[^▁]▁", x) for x in inner) and self.second.id_to_piece(self.space[0]) == "▁"
+        self.cuts_b = SPACED if apart else None
         self.known: tuple[dict, dict] = ({}, {})
 
     def encode(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
@@ -86,7 +88,7 @@ class Loaded:
         """
         plain = [f" {t}" for t in texts.to_pylist()]
         first = lambda some: [e.ids for e in self.first.encode_batch_fast(some, add_special_tokens=False)]
-        second = lambda some: self.second.encode([t[1:] for t in some], num_threads=1)
+        second = lambda some: [x if t != " " else self.space for t, x in zip(some, self.second.encode([t[1:] for t in some], num_threads=1), strict=True)]
         cut_a = [SPLIT.findall(t) if PLAIN.fullmatch(t) else [t] for t in plain]
         cut_b = [self.cuts_b.findall(t) if self.cuts_b and "▁" not in t else [t] for t in plain]
         return _encoded(cut_a, first, self.known[0]), _encoded(cut_b, second, self.known[1])
