@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bomrec.plans import lens
 from bomrec.plans.registry import query
+from bomrec.session import shared_folder
 from bomrec.sources import cells as S
+from bomrec.sources import records, split
 
 # One file per supplier. Row 1 is a title, row 2 (in every tenth file row 32) the header, then data: one
 # row per part the supplier ships. Some files have a column without a header inside the table. Files differ in their headers, some lack a quantity or an item column, some have a
@@ -129,3 +134,82 @@ def _(spark, sf):
     return events.groupBy("entry_id").agg(F.min("seq").alias("seq"))
 
 
+# -- record files: built from the given tables in the shared folder, read back in blocks ------------------------
+
+BLOCK_BYTES = 1 << 20
+
+
+def _folder(spark, what):
+    return f"{shared_folder(spark)}/bomrec-{what}-{uuid.uuid4().hex}"
+
+
+def _documents(spark, rows, what, key):
+    """One JSON document for each ``doc``: a list or object named ``key`` of the rows' ``member`` texts."""
+    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("doc").orderBy("id")))
+    members = rows.select("doc", F.col("at").cast("long").alias("at"), F.when(F.col("at") > 1, F.concat(F.lit(","), "member")).otherwise(F.col("member")).alias("value"))
+    opening, closing = ("[", "]") if key == "entries" else ("{", "}")
+    head = '{"version": 1, "policy": {"note": "none"}, ' + f'"{key}": {opening}'
+    ends = rows.select("doc").distinct()
+    frame = [ends.select("doc", F.lit(at).cast("long").alias("at"), F.lit(text).alias("value")) for at, text in ((0, head), (1 << 62, f'{closing}, "after": [{{"id": 0}}]}}'))]
+    path = _folder(spark, what)
+    whole = members.unionByName(frame[0]).unionByName(frame[1])
+    whole.repartition("doc").sortWithinPartitions("doc", "at").select("doc", "value").write.partitionBy("doc").text(path)
+    return path
+
+
+_GOLD = "SELECT CAST(p_partkey AS STRING) AS row_ref, CAST(p_partkey AS STRING) || '.' || CAST(p_size % 3 + 1 AS STRING) AS gold_id, p_size % 3 + 1 AS position, p_name || ' \"x\" {{}}' AS name, p_type AS quality, CAST(p_size AS DOUBLE) AS quantity, CASE WHEN p_size % 2 = 0 THEN 'RESUELTA' ELSE 'REVISION_MANUAL' END AS status, CASE WHEN p_size % 2 = 0 THEN '' ELSE 'A|' || p_brand END AS reasons FROM {part}"
+
+
+@query("S11_gold_lines", lens.sql(_GOLD.replace("STRING", "VARCHAR")))
+def _(spark, sf):
+    g = lens.frame(spark, sf, _GOLD)
+    cell = lambda c: F.struct(F.col(c).alias("value"), F.lit("extracted").alias("provenance"), F.lit("C").alias("certainty"))
+    reasons = F.when(F.col("reasons") == "", F.array().cast("array<string>")).otherwise(F.split("reasons", r"\|"))
+    line = F.to_json(F.struct(
+        F.col("gold_id").alias("id"), F.col("row_ref").alias("rowRef"), "status", reasons.alias("reasons"),
+        F.struct(cell("name").alias("name"), cell("quality").alias("quality")).alias("attributes"), F.struct(F.col("quantity").alias("value")).alias("quantity"),
+    ))
+    read = records.gold_rows(g.select(line.alias("value")))
+    return read.select("row_ref", "gold_id", "position", "name", "quality", "quantity", "status", F.array_join("reasons", "|").alias("reasons"))
+
+
+@query("S12_seed_entries", lens.sql("SELECT 'finish' AS attribute, c_name AS id, c_mktsegment || ' \"}} ' || c_name AS alias, 'alias' AS kind, c_mktsegment AS value, 'added' AS source, CAST(c_nationkey AS VARCHAR) AS decided_at FROM {customer}"))
+def _(spark, sf):
+    c = lens.frame(spark, sf, "SELECT c_nationkey AS doc, c_name AS id, c_mktsegment || ' \"}} ' || c_name AS alias, 'alias' AS kind, c_mktsegment AS finish, 'added' AS source, CAST(c_nationkey AS STRING) AS decidedAt FROM {customer}")
+    member = F.to_json(F.struct("id", "alias", "kind", "finish", "source", "decidedAt"), {"pretty": "true"})
+    path = _documents(spark, c.select("doc", "id", member.alias("member")), "seed", "entries")
+    return records.vocabulary_seed(spark, path, "finish", BLOCK_BYTES)
+
+
+@query("S13_log_events", lens.sql("SELECT row_number() OVER (ORDER BY event_type, event_id) AS seq, CASE WHEN event_id % 3 = 0 THEN 'retire' ELSE 'add' END AS action, 'u' || CAST(user_id AS VARCHAR) AS id, CASE WHEN event_id % 3 <> 0 THEN props END AS alias, CAST(ts AS VARCHAR) AS at FROM {events}"))
+def _(spark, sf):
+    e = lens.frame(spark, sf, "SELECT event_type AS file, event_id div 1000 AS block, event_id AS nth, event_id % 3 = 0 AS retires, 'u' || CAST(user_id AS STRING) AS id, props, CAST(CAST(ts AS TIMESTAMP_NTZ) AS STRING) AS at FROM {events}")
+    added = F.struct(F.lit("add").alias("action"), "at", F.struct("id", F.col("props").alias("alias")).alias("entry"))
+    gone = F.struct(F.lit("retire").alias("action"), "at", F.col("id").alias("entryId"))
+    lines = e.select("file", "block", "nth", F.when(F.col("retires"), F.to_json(gone)).otherwise(F.to_json(added)).alias("value"))
+    return records.log_events(lines, "finish").select("seq", "action", "id", "alias", "at")
+
+
+@query("S14_reader_answers", lens.sql("SELECT CAST(p_partkey AS VARCHAR) AS row_ref, p_size % 5 = 0 AS out_of_family, 'not {{ours}} \"' || p_type AS reason, p_name AS detected_name, p_name || chr(10) || '}}' AS evidence, p_size AS multiplicity, p_type AS quality FROM {part}"))
+def _(spark, sf):
+    p = lens.frame(spark, sf, "SELECT p_brand AS doc, p_partkey AS id, p_name, p_type, p_size FROM {part}")
+    element = F.struct(
+        F.col("p_name").alias("detectedName"), F.lit("principal").alias("role"), F.concat("p_name", F.lit("\n}")).alias("evidence"), F.col("p_size").alias("multiplicity"),
+        F.struct(F.struct(F.col("p_type").alias("value"), F.lit('{"').alias("evidence")).alias("quality")).alias("attributes"),
+    )
+    answer = F.struct((F.col("p_size") % 5 == 0).alias("outOfFamily"), F.concat(F.lit('not {ours} "'), "p_type").alias("outOfFamilyReason"), F.array(element).alias("elements"))
+    member = F.concat(F.lit('"'), F.col("id").cast("string"), F.lit('": '), F.to_json(answer, {"pretty": "true"}))
+    path = _documents(spark, p.select("doc", "id", member.alias("member")), "answers", "respuestas")
+    first = F.inline("elements")
+    read = records.reader_answers(spark, path, BLOCK_BYTES).select("row_ref", "out_of_family", F.col("out_of_family_reason").alias("reason"), first)
+    return read.select("row_ref", "out_of_family", "reason", "detected_name", "evidence", "multiplicity", F.col("quality.value").alias("quality"))
+
+
+@query("S15_quoted_csv", lens.sql("SELECT page_id AS id, url AS name, md5(html) AS text_md5, CAST(length(html) AS INT) AS n FROM {pages} UNION ALL SELECT -event_id - 1, event_type, md5(props), CAST(length(props) AS INT) FROM {events}"))
+def _(spark, sf):
+    path = _folder(spark, "csv")
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))
+    rows = lens.frame(spark, sf, "SELECT page_id AS id, url AS name, html AS text FROM {pages} UNION ALL SELECT -event_id - 1, event_type, props FROM {events}")
+    rows.select(F.concat_ws(",", F.col("id").cast("string"), quoted("name"), quoted("text")).alias("value")).write.text(path)
+    read = split.csv_rows(split.pieces(spark, path, "\n", BLOCK_BYTES), "id long, name string, text string", header=False)
+    return read.select("id", "name", F.md5("text").alias("text_md5"), F.length("text").alias("n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bomrec.functions import closed_tables as T
 from bomrec.operators.reader import READ_ATTRIBUTES
+from bomrec.sources import split
 
 _CELL = "struct<value:string,provenance:string,certainty:string>"
 GOLD_SCHEMA = (
@@ -23,7 +24,12 @@ ENTRY_SCHEMA = (
 
 def gold_lines(spark: SparkSession, path: str) -> DataFrame:
     """Gold JSON lines in the flat shape the evaluation operators use."""
-    raw = spark.read.schema(GOLD_SCHEMA).json(path)
+    return gold_rows(spark.read.text(path))
+
+
+def gold_rows(lines: DataFrame) -> DataFrame:
+    """S11 over a column ``value`` of JSON lines; blank lines are left out."""
+    raw = lines.where(F.trim("value") != "").select(F.from_json("value", GOLD_SCHEMA).alias("e")).select("e.*")
     cells = []
     for a in T.ATTRIBUTES:
         c = F.col(f"attributes.{a}")
@@ -38,32 +44,35 @@ def gold_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def vocabulary_seed(spark: SparkSession, path: str, attribute: str) -> DataFrame:
-    """The entries of a seed document, in the shared entry shape."""
-    raw = spark.read.schema(f"entries array<struct<{_colons(ENTRY_SCHEMA)}>>").json(path, multiLine=True)
-    return _entries(raw.select(F.inline("entries")), attribute)
+def vocabulary_seed(spark: SparkSession, path: str, attribute: str, block_bytes: int | None = None) -> DataFrame:
+    """The entries of seed documents, in the shared entry shape; a large document is many tasks."""
+    found = split.json_elements(split.pieces(spark, path, "}", block_bytes), "entries")
+    return _entries(found.select(F.from_json("text", f"struct<{_colons(ENTRY_SCHEMA)}>").alias("e")).select("e.*"), attribute)
 
 
-def vocabulary_log(spark: SparkSession, path: str, attribute: str) -> DataFrame:
+def vocabulary_log(spark: SparkSession, path: str, attribute: str, block_bytes: int | None = None) -> DataFrame:
     """add/retire/uncover events with a sequence that follows the file order.
 
     Logs are append-only files, ordered by their names; lines of one file by their position in it. A
     block of a file is read in order by one task, so blocks are numbered and lines counted within them.
     """
+    return log_events(split.pieces(spark, path, "\n", block_bytes), attribute)
+
+
+def log_events(lines: DataFrame, attribute: str) -> DataFrame:
+    """S13 over lines (file, block, nth, value). Files are numbered by one window over one row for each, blocks
+    by a window for each file."""
     schema = f"action string, at string, `by` string, detail string, entryId string, matchKind string, matchValue string, entry struct<{_colons(ENTRY_SCHEMA)}>"
-    raw = (
-        spark.read.text(path)
-        .select(
-            F.from_json("value", schema).alias("e"),
-            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("line"),
-        )
-    )
-    in_order = F.row_number().over(Window.orderBy("file", "block"))
-    numbered = raw.select("file", "block").distinct().withColumn("nth", in_order)
-    seq = F.shiftleft(F.col("nth").cast("long"), 33) + F.col("line")
-    return raw.join(numbered, ["file", "block"]).select(
-        seq.alias("seq"), F.col("e.action").alias("action"), F.col("e.at").alias("at"),
+    raw = lines.where(F.trim("value") != "").select("file", "block", "nth", F.from_json("value", schema).alias("e"))
+    counted = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    in_file = counted.select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("in_file"))
+    files = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    in_all = counted.groupBy("file").agg(F.sum("n").alias("n")).select("file", F.coalesce(F.sum("n").over(files), F.lit(0)).alias("in_all"))
+    in_block = F.row_number().over(Window.partitionBy("file", "block").orderBy("nth"))
+    numbered = raw.withColumn("in_block", in_block).join(in_file, ["file", "block"]).join(in_all, "file")
+    return numbered.select(
+        (F.col("in_all") + F.col("in_file") + F.col("in_block")).alias("seq"), F.col("e.action").alias("action"), F.col("e.at").alias("at"),
         F.coalesce("e.entry.id", "e.entryId", F.concat(F.lit("uncovered:"), "e.matchValue")).alias("id"),
         F.coalesce("e.entry.alias", "e.entry.matchValue", "e.matchValue").alias("alias"),
         F.coalesce("e.entry.kind", "e.entry.matchKind", "e.matchKind").alias("kind"),
@@ -101,16 +110,18 @@ def _top_level(ddl: str) -> list[str]:
     return [*parts, current]
 
 
-def reader_answers(spark: SparkSession, path: str) -> DataFrame:
-    """Frozen reader answers, one document mapping row to analysis, in the replay shape."""
+def reader_answers(spark: SparkSession, path: str, block_bytes: int | None = None) -> DataFrame:
+    """Frozen reader answers, documents mapping row to analysis, in the replay shape; a large document is
+    many tasks."""
     value = "struct<value:string,evidence:string>"
     attributes = ",".join(f"{a}:{value}" for a in READ_ATTRIBUTES)
     element = (
         f"struct<detectedName:string,normalizedName:string,role:string,evidence:string,multiplicity:int,attributes:struct<{attributes}>>"
     )
     answer = f"struct<outOfFamily:boolean,outOfFamilyReason:string,elements:array<{element}>>"
-    raw = spark.read.schema(f"respuestas map<string,{answer}>").json(path, multiLine=True)
-    return raw.select(F.explode("respuestas").alias("row_ref", "a")).select(
+    found = split.json_elements(split.pieces(spark, path, "}", block_bytes), "respuestas")
+    member = F.from_json(F.concat(F.lit("{"), "text", F.lit("}")), f"map<string,{answer}>")
+    return found.select(F.explode(member).alias("row_ref", "a")).select(
         "row_ref", F.col("a.outOfFamily").alias("out_of_family"),
         F.col("a.outOfFamilyReason").alias("out_of_family_reason"), F.lit(None).cast("string").alias("error"),
         F.transform(
@@ -125,6 +136,6 @@ def reader_answers(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def fixture_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Quoted CSV with doubled quotes and embedded line breaks."""
-    return spark.read.csv(path, schema=schema, header=True, quote='"', escape='"', multiLine=True)
+def fixture_csv(spark: SparkSession, path: str, schema: str, block_bytes: int | None = None) -> DataFrame:
+    """Quoted CSV with a header, doubled quotes and embedded line breaks; a large file is many tasks."""
+    return split.csv_rows(split.pieces(spark, path, "\n", block_bytes), schema).drop("file", "block", "nth")
