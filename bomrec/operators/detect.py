@@ -234,45 +234,164 @@ def undetected_rows(hits: DataFrame, key: str, detector: str) -> DataFrame:
 
 # -- J1 for vocabularies too large to inline --------------------------------------------------
 
+_UNIT = "[A-Z0-9]+[^A-Z0-9]*"  # a token and what stands behind it
+_TOKEN = "^[A-Z0-9]+"
 
-def find_aliases_join(rows: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
-    """J1 for alias tables (alias, value, ord) of any size, with equi-joins only.
 
-    A row's distinct tokens meet the first token of every alias, so only aliases that can occur come
-    back to the row's text, where their word-bounded positions are found. Overlaps are then resolved
-    inside clusters of touching candidates, which stay small however long the text is.
+def _units(folded: Column) -> Column:
+    return F.regexp_extract_all(folded, F.lit(_UNIT), F.lit(0))
+
+
+def _heads(units: Column) -> Column:
+    """For each place in the units: (at, head), head being the token there and the two tokens from there on."""
+
+    def at(u: Column, i: Column) -> Column:
+        one = F.regexp_extract(u, _TOKEN, 0)
+        following = F.regexp_extract(F.get(units, i + 1), _TOKEN, 0)
+        return F.array(
+            F.struct(i.alias("at"), one.alias("head")),
+            F.struct(i.alias("at"), F.concat(u, following).alias("head")),
+        )
+
+    return F.filter(F.flatten(F.transform(units, at)), lambda h: h["head"].isNotNull())
+
+
+def alias_index(aliases: DataFrame) -> DataFrame:
+    """(needle, lead, core, tail, head, ord) of folded alias texts (needle, ord).
+
+    An alias is its tokens with what stands between them (``core``), and what stands before and behind them.
+    ``head`` is what rows meet it by: its only token, or its first two tokens with what stands between. An
+    alias without letters A-Z and digits has no core and is met by its first character.
     """
-    table = aliases.withColumn("needle", X.fold("alias")).filter("needle <> ''")
-    table = table.groupBy("needle").agg(
-        F.min_by(F.struct("alias", "value"), "ord").alias("a"), F.min("ord").alias("ord")
-    )
-    head = F.regexp_extract("needle", "[A-Z0-9]+", 0)
-    heads = table.select("needle", "ord", head.alias("token"))
-    texts = rows.select(F.col(key), X.fold(text).alias("folded"))
-    tokens = texts.select(
-        key, F.explode(F.array_union(F.split("folded", "[^A-Z0-9]+"), F.array(F.lit("")))).alias("token")
+    units = _units(F.col("needle"))
+    core = F.regexp_replace(F.regexp_replace("needle", "^[^A-Z0-9]+", ""), "[^A-Z0-9]+$", "")
+    second = F.regexp_extract(F.get(F.col("units"), F.lit(1)), _TOKEN, 0)
+    return (
+        aliases.withColumn("units", units)
+        .withColumn("core", core)
+        .withColumn("lead", F.regexp_extract("needle", "^[^A-Z0-9]*", 0))
+        .withColumn("tail", F.when(F.col("core") != "", F.regexp_extract("needle", "[^A-Z0-9]*$", 0)).otherwise(F.lit("")))
+        .withColumn(
+            "head",
+            F.when(F.col("core") == "", F.substring("needle", 1, 1))
+            .when(F.size("units") == 1, F.col("core"))
+            .otherwise(F.concat(F.col("units")[0], second)),
+        )
+        .select("needle", "lead", "core", "tail", "head", "ord")
     )
-    possible = tokens.join(heads, "token").select(key, "needle", "ord")
-    pattern = F.concat(F.lit("(?<![A-Z0-9])"), X.escape_pattern(F.col("needle")), F.lit("(?![A-Z0-9])"))
-    candidates = (
-        texts.join(possible, key)
-        .filter(F.contains("folded", F.col("needle")))
-        .select(key, "needle", "ord", F.inline(S.scan(F.col("folded"), pattern)))
+
+
+def alias_candidates(texts: DataFrame, key: str, index: DataFrame) -> DataFrame:
+    """(key, needle, ord, start, end): all word-bounded occurrences of the indexed aliases in texts (key, folded).
+
+    The places of a text meet the aliases by an equi-join on the head, without the text. What met comes
+    back as one list for each text, so the text is sent once, and the aliases are compared there. Nothing
+    here depends on how many aliases there are.
+    """
+    units = _units(F.col("folded"))
+    odd = F.array_distinct(F.split(F.regexp_replace("folded", "[A-Z0-9 ]", ""), ""))
+    single = F.transform(F.filter(odd, lambda c: c != ""), lambda c: F.struct(F.lit(-1).alias("at"), c.alias("head")))
+    met = (
+        texts.select(key, F.inline(F.concat(_heads(units), single)))
+        .join(index, "head")
+        .groupBy(key)
+        .agg(F.collect_list(F.struct("at", "needle", "lead", "core", "tail", "ord")).alias("met"))
     )
-    before = Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    before = F.regexp_extract("folded", "^[^A-Z0-9]*", 0)
+    behind = lambda u: F.regexp_extract(u, "[^A-Z0-9]*$", 0)
+
+    def place(m: Column) -> Column:
+        core_start = F.length(before) + F.length(F.array_join(F.slice("units", 1, m["at"]), ""))
+        gap = F.when(m["at"] == 0, before).otherwise(behind(F.get(F.col("units"), m["at"] - 1)))
+        core_end = core_start + F.length(m["core"])
+        after = F.regexp_extract(F.substring(F.col("folded"), core_end + 1, F.length(m["tail"]) + 1), "^[^A-Z0-9]*", 0)
+        follows = F.substring(F.col("folded"), core_end + 1, 1)
+        # Around an alias stands no letter or digit, which its own first and last tokens see to themselves.
+        fits = (
+            (F.substring(F.col("folded"), core_start + 1, F.length(m["core"])) == m["core"])
+            & ~follows.rlike("[A-Z0-9]")
+            & F.endswith(gap, m["lead"])
+            & ((m["lead"] == "") | (m["at"] == 0) | (F.length(gap) > F.length(m["lead"])))
+            & F.startswith(after, m["tail"])
+            & ((m["tail"] == "") | (F.length(after) > F.length(m["tail"])) | (core_end + F.length(m["tail"]) >= F.length("folded")))
+        )
+        span = F.struct(
+            m["needle"].alias("needle"), m["ord"].alias("ord"), (core_start - F.length(m["lead"])).cast("int").alias("start"),
+            (core_end + F.length(m["tail"])).cast("int").alias("end"),
+        )
+        return F.when(fits, F.array(span)).otherwise(F.array().cast("array<struct<needle:string,ord:bigint,start:int,end:int>>"))
+
+    def search(m: Column) -> Column:
+        # All places, overlapping ones too: a fence goes in before each, and the pieces add up to them.
+        pattern = F.concat(F.lit("(?<![A-Z0-9])(?="), X.escape_pattern(m["needle"]), F.lit("(?![A-Z0-9]))"))
+        parts = F.split(F.regexp_replace("folded", pattern, F.lit(S.FENCE)), S.FENCE, -1)
+        empty = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("starts"))
+        step = lambda acc, part: F.struct(
+            (acc["pos"] + F.length(part)).alias("pos"), F.concat(acc["starts"], F.array(acc["pos"] + F.length(part))).alias("starts")
+        )
+        starts = F.aggregate(F.slice(parts, 1, F.size(parts) - 1), empty, step, lambda acc: acc["starts"])
+        return F.transform(
+            starts,
+            lambda at: F.struct(m["needle"].alias("needle"), m["ord"].alias("ord"), at.alias("start"), (at + F.length(m["needle"])).alias("end")),
+        )
+
+    found = F.flatten(F.transform("met", lambda m: F.when(m["at"] >= 0, place(m)).otherwise(search(m))))
+    return texts.join(met, key).withColumn("units", units).select(key, F.inline(found))
+
+
+def claim_longest_spans(candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, needle, start, end): the longest of overlapping candidates, then the least ord, then the first.
+
+    Overlaps are resolved inside clusters of touching candidates, which stay small however long a text is.
+    """
+    before = Window.partitionBy(*keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
     opens = F.coalesce((F.max("end").over(before) <= F.col("start")).cast("int"), F.lit(1))
     clustered = candidates.withColumn("opens", opens).withColumn("cluster", F.sum("opens").over(upto))
-    ranked = F.array_sort(F.collect_list(F.struct("ord", "start", "text", "end")))
-    kept = clustered.groupBy(key, "cluster").agg(
+    ranked = F.array_sort(F.collect_list(F.struct("ord", "start", F.col("needle").alias("text"), "end")))
+    kept = clustered.groupBy(*keys, "cluster").agg(
         S.claim_longest(
             F.transform(ranked, lambda h: F.struct(h["text"].alias("text"), h["start"].alias("start"), h["end"].alias("end")))
         ).alias("h")
     )
-    values = table.select(
-        F.col("needle").alias("text"), F.col("a.alias").alias("alias"), F.col("a.value").alias("value")
+    return kept.select(*keys, F.inline("h")).withColumnRenamed("text", "needle")
+
+
+def find_aliases_join(rows: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
+    """J1 for alias tables (alias, value, ord) of any size, with equi-joins only; ``key`` is unique.
+
+    Same result as the inline scan: word-bounded occurrences in the folded text, longest alias first, no
+    character used twice. Of aliases with one folded text the one with the least ``ord`` counts.
+    """
+    table = aliases.withColumn("needle", X.fold("alias")).filter("needle <> ''")
+    table = table.groupBy("needle").agg(
+        F.min_by(F.struct("alias", "value"), "ord").alias("a"), F.min("ord").cast("long").alias("ord")
+    )
+    texts = rows.select(F.col(key), X.fold(text).alias("folded"))
+    found = claim_longest_spans(alias_candidates(texts, key, alias_index(table)), [key])
+    values = table.select("needle", F.col("a.alias").alias("alias"), F.col("a.value").alias("value"))
+    return found.join(values, "needle").select(key, "alias", "value", "start", "end")
+
+
+def find_attributes_join(rows: DataFrame, key: str, text: str, vocabulary: DataFrame) -> DataFrame:
+    """Names, finishes, materials and catalogue qualities by vocabularies of any size, in one pass.
+
+    ``vocabulary`` has (attribute, alias, value, ord). Each attribute is claimed by itself, as the readers'
+    scans are, so one span may be a name and a material at once. All attributes share one index and one join.
+
+    Returns (key, attribute, alias, value, start, end).
+    """
+    table = vocabulary.withColumn("needle", X.fold("alias")).filter("needle <> ''")
+    table = table.groupBy("needle", "attribute").agg(
+        F.min_by(F.struct("alias", "value"), "ord").alias("a"), F.min("ord").cast("long").alias("ord")
     )
-    return kept.select(key, F.inline("h")).join(values, "text").select(key, "alias", "value", "start", "end")
+    needles = table.groupBy("needle").agg(F.min("ord").alias("ord"))
+    texts = rows.select(F.col(key), X.fold(text).alias("folded"))
+    places = alias_candidates(texts, key, alias_index(needles)).drop("ord")
+    owned = places.join(table.select("needle", "attribute", "ord"), "needle")
+    found = claim_longest_spans(owned, [key, "attribute"])
+    values = table.select("needle", "attribute", F.col("a.alias").alias("alias"), F.col("a.value").alias("value"))
+    return found.join(values, ["needle", "attribute"]).select(key, "attribute", "alias", "value", "start", "end")
 
 
 def exact_alias(values: DataFrame, column: str, aliases: DataFrame) -> DataFrame:

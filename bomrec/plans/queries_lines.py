@@ -422,24 +422,53 @@ def _(spark, sf):
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
+# Aliases are all phrases of one to three words of the benchmark, with their marks and accents; single words of
+# seven letters and more. They overlap, and there are more of them than an inline pattern takes.
+_FOLD = "trim(regexp_replace(upper(strip_accents(replace({}, 'ß', 'ss'))), '\\s+', ' ', 'g'))"
+_JOINED = lens.sql(
+    "WITH b AS (SELECT item_id, string_split(text, ' ') AS w FROM {benchmark}), p AS (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS i FROM b), "
+    "phrases AS (SELECT array_to_string(w[i:i + k - 1], ' ') AS alias, item_id * 1000000 + i * 3 + k AS ord FROM p, (VALUES (1), (2), (3)) AS ks(k) "
+    "WHERE i + k - 1 <= len(w) AND (k > 1 OR length(w[i]) >= 7)), "
+    f"needles AS (SELECT {_FOLD.format('alias')} AS needle, min(ord) AS ord FROM phrases GROUP BY 1), "
+    "al AS (SELECT needle, ord, regexp_extract(needle, '^[^A-Z0-9]*') AS lead, regexp_extract(needle, '[^A-Z0-9]*$') AS tail, "
+    "regexp_replace(regexp_replace(needle, '^[^A-Z0-9]+', ''), '[^A-Z0-9]+$', '') AS core, len(regexp_extract_all(needle, '[A-Z0-9]+')) AS k "
+    "FROM needles WHERE regexp_matches(needle, '[A-Z0-9]')), "
+    f"d AS (SELECT doc_id, f, regexp_extract_all(f, '[A-Z0-9]+[^A-Z0-9]*') AS u, regexp_extract(f, '^[^A-Z0-9]*') AS before FROM (SELECT doc_id, {_FOLD.format('text')} AS f FROM {{documents}}) AS x), "
+    "e AS (SELECT doc_id, u, before, unnest(u) AS unit, unnest(range(1, len(u) + 1)) AS i FROM d), "
+    "o AS (SELECT *, length(before) + coalesce(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM e), "
+    "c AS (SELECT doc_id, i, k, start, array_to_string(u[i:i + k - 2], '') || regexp_extract(u[i + k - 1], '^[A-Z0-9]+') AS core, len(u) AS n, "
+    "CASE WHEN i = 1 THEN before ELSE regexp_extract(u[i - 1], '[^A-Z0-9]*$') END AS gap, regexp_extract(u[i + k - 1], '[^A-Z0-9]*$') AS after "
+    "FROM o, (SELECT DISTINCT k FROM al) AS ks WHERE i + k - 1 <= len(u)), "
+    "found AS (SELECT doc_id, needle, ord, start - length(lead) AS s, start + length(core) + length(tail) AS t FROM c JOIN al USING (k, core) "
+    "WHERE ends_with(gap, lead) AND (lead = '' OR i = 1 OR length(gap) > length(lead)) AND starts_with(after, tail) AND (tail = '' OR i + k - 1 = n OR length(after) > length(tail))), "
+    "opened AS (SELECT *, CASE WHEN coalesce(max(t) OVER (PARTITION BY doc_id ORDER BY s, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) <= s THEN 1 ELSE 0 END AS opens FROM found), "
+    "clusters AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY s, t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cluster FROM opened), "
+    "lists AS (SELECT doc_id, list([{{'s': s, 't': t, 'needle': needle}}] ORDER BY s - t, ord, s) AS l FROM clusters GROUP BY doc_id, cluster), "
+    "claimed AS (SELECT doc_id, unnest(list_reduce(l, lambda a, x: CASE WHEN len(list_filter(a, lambda y: y.s < x[1].t AND x[1].s < y.t)) > 0 THEN a ELSE list_concat(a, x) END)) AS h FROM lists) "
+)
+
+
 @query(
     "J1_alias_join_documents",
-    lens.sql(
-        "WITH words AS (SELECT DISTINCT upper(w) AS word FROM (SELECT unnest(string_split(text, ' ')) AS w FROM {benchmark}) AS s WHERE regexp_full_match(w, '[a-z]{{7,}}')), "
-        "tokens AS (SELECT doc_id, unnest(string_split_regex(upper(strip_accents(replace(text, 'ß', 'ss'))), '[^A-Z0-9]+')) AS word FROM {documents}) "
-        "SELECT doc_id, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT word) AS BIGINT) AS n_aliases FROM tokens JOIN words USING (word) GROUP BY doc_id"
-    ),
+    _JOINED + "SELECT doc_id, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT h.needle) AS BIGINT) AS n_aliases, CAST(sum(h.s) AS BIGINT) AS starts, CAST(sum(h.t - h.s) AS BIGINT) AS characters FROM claimed GROUP BY doc_id",
 )
 def _(spark, sf):
     docs = spread(lens.frame(spark, sf, "SELECT doc_id, text FROM {documents}"))
-    words = lens.frame(spark, sf, "SELECT text FROM {benchmark}").select(F.explode(F.split("text", " ")).alias("alias"))
-    words = words.filter(F.col("alias").rlike("^[a-z]{7,}$")).distinct()
-    aliases = words.select("alias", F.col("alias").alias("value"), F.hash("alias").alias("ord"))
-    return detect.find_aliases_join(docs, "doc_id", "text", aliases).groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("alias").alias("n_aliases")
+    found = detect.find_aliases_join(docs, "doc_id", "text", _phrases(spark, sf))
+    return found.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct(X.fold("alias")).alias("n_aliases"), F.sum("start").cast("long").alias("starts"),
+        F.sum(F.col("end") - F.col("start")).cast("long").alias("characters"),
     )
 
 
+def _phrases(spark, sf):
+    words = lens.frame(spark, sf, "SELECT item_id, split(text, ' ') AS w FROM {benchmark}")
+    at = words.select("item_id", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i"))
+    ranks = F.explode(F.array(*[F.lit(k) for k in (1, 2, 3)])).alias("k")
+    phrases = at.select("item_id", "w", "i", ranks).where((F.col("i") + F.col("k") - 1 <= F.size("w")) & ((F.col("k") > 1) | (F.length(F.get("w", F.col("i") - 1)) >= 7)))
+    return phrases.select(F.array_join(F.slice("w", F.col("i"), F.col("k")), " ").alias("alias"), (F.col("item_id") * 1000000 + F.col("i") * 3 + F.col("k")).alias("ord")).withColumn("value", F.col("alias"))
+
+
 @query(
     "P1_empty_description",
     lens.sql(

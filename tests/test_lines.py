@@ -1,5 +1,8 @@
 """Rows to lines: fixture rows, invariant bank, multiplicity shapes and conservation."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,7 +121,7 @@ def test_longest_alias_first(spark):
 
 
 def test_alias_join_equals_inline_scan(spark):
-    texts = [(i, t) for i, t in enumerate(["STUD BOLT y hex bolt", "hot dip galv electrolitico", "bolts BOLT-bolt", "añ VIS\tvis", ""] * 2)]
+    texts = [(i, t) for i, t in enumerate(["STUD BOLT y hex bolt", "hot dip galv electrolitico", "bolts BOLT-bolt", "añ VIS\tvis", "", None] * 2)]
     rows = spark.createDataFrame(texts, "k int, t string")
     words = ["STUD BOLT", "BOLT", "HEX BOLT", "VIS", "HOT DIP GALV", "GALV ELECTROLITICO"]
     aliases = spark.createDataFrame([(w, w, n) for n, w in enumerate(words)], "alias string, value string, ord int")
@@ -127,6 +130,62 @@ def test_alias_join_equals_inline_scan(spark):
     assert joined == {tuple(r) for r in inline.select("k", "text", "start", "end").collect()}
 
 
+def _plain_claims(text, needles):
+    """Longest first, then by the order of the list, then leftmost; no character twice."""
+    found = []
+    for n, needle in enumerate(needles):
+        pattern = f"(?<![A-Z0-9]){re.escape(needle)}(?![A-Z0-9])"
+        at = re.search(pattern, text)
+        while at:
+            found.append((-len(needle), n, at.start(), needle))
+            at = re.compile(pattern).search(text, at.start() + 1)
+    taken, out = set(), []
+    for size, _, start, needle in sorted(found):
+        span = set(range(start, start - size))
+        if not span & taken:
+            taken |= span
+            out.append((needle, start, start - size))
+    return sorted(out, key=lambda h: h[1])
+
+
+def test_alias_join_with_any_number_of_aliases(spark):
+    rng = random.Random(4)
+    letters = ["a", "B", "é", "9", " ", " ", "-", ".", "(", ")", "ñ", "Ω", "c", "  "]
+    make = lambda n: "".join(rng.choice(letters) for _ in range(rng.randint(1, n)))
+    aliases = list(dict.fromkeys([make(8) for _ in range(6000)] + ["(A)", "A.", ".A", "Ω", "-", "ΩΩ", "A B", "B C", "A B C"]))
+    texts = [make(60) for _ in range(300)] + ["", "(A)", "A.", "x Ω y", "-- A-B", None]
+    folded = lambda values: [X_fold(v) for v in values]
+    needles = [n for n in dict.fromkeys(folded(aliases)) if n]
+    vocabulary = spark.createDataFrame([(a, a, n) for n, a in enumerate(aliases)], "alias string, value string, ord int")
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {}
+    for r in detect.find_aliases_join(rows, "k", "t", vocabulary).collect():
+        got.setdefault(r["k"], []).append((X_fold(r["alias"]), r["start"], r["end"]))
+    for k, text in enumerate(texts):
+        assert sorted(got.get(k, []), key=lambda h: h[1]) == _plain_claims(X_fold(text or ""), needles), text
+
+
+def X_fold(value):
+    from bomrec.operators.catalog import fold_text
+
+    return fold_text(value)
+
+
+def test_attributes_are_claimed_apart(spark):
+    v = Vocabulary.closed()
+    table = [("name", a.text, a.value) for a in v.names] + [("material", a.text, a.value) for a in v.materials]
+    frame = spark.createDataFrame([(*r, n) for n, r in enumerate(table)], "attribute string, alias string, value string, ord int")
+    texts = ["Stud bolt A193 inox with 2 hex nuts", "VIS acero carbono, carbon steel BOLT; arandela", "hexagonal", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = sorted(tuple(r) for r in detect.find_attributes_join(rows, "k", "t", frame).select("k", "attribute", "value", "start", "end").collect())
+    folded = rows.select("k", X.fold("t").alias("f"))
+    wanted = []
+    for attribute, hits, value in (("name", detect.name_hits, detect.name_value), ("material", detect.material_hits, detect.material_value)):
+        inline = folded.select("k", F.inline(hits(F.col("f"), v))).select("k", F.lit(attribute), value(F.col("text"), v), "start", "end")
+        wanted += [tuple(r) for r in inline.collect()]
+    assert got == sorted(wanted) and {w[1] for w in wanted} == {"name", "material"}
+
+
 def test_measures(spark):
     cases = [("M16x60", "M16", "60", False), ('7/8" X 130 LG', '7/8"', "130", False), ('1-1/2"', '1-1/2"', None, False), ("4.8x25", "4.8", "25", True), ("M0", None, None, None), ("abc", None, None, None), ("7/0", None, None, None)]
     df = spark.createDataFrame([(c[0],) for c in cases], "t string").select("t", M.parse_measure(F.col("t")).alias("m"))
