@@ -40,39 +40,81 @@ def _loose_pattern(folded_needle: Column) -> Column:
     return F.concat_ws("\\s*", F.transform(letters, X.escape_pattern))
 
 
+def offset_map(source: Column, folded: Column) -> Column:
+    """For each character of the folded text the source character that it comes from; null where folding moves
+    nothing, so that offsets are the same.
+
+    Each source character folds to some characters by itself (none for a combining mark, two for a sharp s),
+    and white space to one blank after another character, none at the ends. The running sum of these numbers
+    is the map, written as the source index repeated so often.
+    """
+    single = X.WHITESPACE[:-1]
+    characters = F.regexp_extract_all(source, F.lit("(?s)(.)"), F.lit(1))
+    stop = F.length(F.regexp_replace(source, X.WHITESPACE + "$", ""))
+
+    def width(all_: Column, c: Column, i: Column) -> Column:
+        before = F.get(all_, i - 1)
+        blank = (i > 0) & (i < stop) & ~before.rlike(single)
+        return F.when(c.rlike(single), blank.cast("int")).otherwise(F.length(F.upper(X.strip_accents(c))))
+
+    places = X.let(characters, lambda cs: F.flatten(F.transform(cs, lambda c, i: F.array_repeat(i, width(cs, c, i)))))
+    checked = X.let(places, lambda p: F.when(F.size(p) == F.length(folded), p))
+    # Lengths that agree by chance, an expanding letter and a run of blanks, are moved as well.
+    moved = (F.length(source) != F.length(folded)) | (F.length(F.upper(X.strip_accents(source))) != F.length(source))
+    return F.when(moved, checked)
+
+
 def locate(
-    source: Column, folded: Column, evidence: Column, start: Column, verbatim: bool = False
+    source: Column, folded: Column, evidence: Column, start: Column, verbatim: bool = False, places: Column | None = None
 ) -> Column:
     """Where literal evidence sits in a row, from exact to white-space-insensitive.
 
-    Struct of start and end (source offsets, null when only the loose match holds on text whose
-    folding moved offsets), anchor and anchor_end (offsets in the folded text) and found. Null or
-    blank evidence counts as found without a span. ``verbatim`` evidence is already folded text.
+    Struct of start and end (source offsets), anchor and anchor_end (offsets in the folded text) and found.
+    Where folding moves offsets, ``places`` (an ``offset_map``) leads from the folded text back to the source;
+    without it such hits have no source offsets. Null or blank evidence counts as found without a span.
+    ``verbatim`` evidence is already folded text.
     """
     same_length = F.length(source) == F.length(folded)
+    if places is not None:
+        same_length = same_length & places.isNull()
+    nowhere = F.lit(None).cast("int")
+
+    def to_source(at: Column) -> Column:
+        return nowhere if places is None else F.get(places, at.cast("int"))
+
+    def begin(at: Column) -> Column:
+        return F.when(same_length, at).otherwise(to_source(at))
+
+    def finish(at: Column) -> Column:
+        return F.when(same_length, at).otherwise(to_source(at - 1) + 1)
+
+    # A source offset to search from, in the folded text.
+    folded_start = start
+    if places is not None:
+        folded_start = F.when(same_length | places.isNull(), start).otherwise(F.size(F.filter(places, lambda p: p < start)))
 
     def search(needle: Column, plain: Column) -> Column:
         exact = F.coalesce(_position(needle, source, start), _position(needle, source, F.lit(0)))
-        in_folded = F.coalesce(_position(plain, folded, start), _position(plain, folded, F.lit(0)))
+        in_folded = F.coalesce(_position(plain, folded, folded_start), _position(plain, folded, F.lit(0)))
         loose = F.when(
             (plain != "") & exact.isNull() & in_folded.isNull(),
             F.nullif(F.regexp_instr(folded, _loose_pattern(plain)), F.lit(0)) - 1,
         )
         loose_end = loose + F.length(F.regexp_substr(folded, _loose_pattern(plain)))
-        span = F.when(same_length, F.coalesce(exact, in_folded)).otherwise(exact)
 
-        def result(s: Column, f: Column, lo: Column) -> Column:
-            anchor = F.when(same_length, F.coalesce(s, lo)).otherwise(F.coalesce(f, lo))
+        def result(e: Column, f: Column, lo: Column) -> Column:
+            own_anchor = F.when(same_length, F.coalesce(e, f, lo)).otherwise(F.coalesce(f, lo))
             end = F.when(lo.isNotNull(), loose_end)
+            own_end = F.coalesce(own_anchor + F.length(plain) + F.when(lo.isNull(), 0), end)
             return F.struct(
-                F.coalesce(s, F.when(same_length, lo)).cast("int").alias("start"),
-                F.coalesce(s + F.length(needle), F.when(same_length, end)).cast("int").alias("end"),
-                anchor.cast("int").alias("anchor"),
-                F.coalesce(anchor + F.length(plain) + F.when(lo.isNull(), 0), end).cast("int").alias("anchor_end"),
-                (s.isNotNull() | f.isNotNull() | lo.isNotNull() | (needle == "")).alias("found"),
+                F.coalesce(e, begin(F.coalesce(f, lo))).cast("int").alias("start"),
+                F.coalesce(e + F.length(needle), finish(F.coalesce(f + F.length(plain), end))).cast("int").alias("end"),
+                own_anchor.cast("int").alias("anchor"),
+                own_end.cast("int").alias("anchor_end"),
+                (e.isNotNull() | f.isNotNull() | lo.isNotNull() | (needle == "")).alias("found"),
             )
 
-        return X.let(span, lambda s: X.let(in_folded, lambda f: X.let(loose, lambda lo: result(s, f, lo))))
+        return X.let(exact, lambda e: X.let(in_folded, lambda f: X.let(loose, lambda lo: result(e, f, lo))))
 
     if verbatim:
         return X.let(evidence, lambda n: search(n, n))
@@ -147,11 +189,13 @@ def read_with_tables(
     ``trace=False`` source spans of the attribute values are left null.
     """
     v = vocabulary or Vocabulary.closed()
-    hit_rows = D.with_hits(rows, text, v)
     source, folded, names = F.col(text), F.col("folded"), F.col("names")
+    hit_rows, places = D.with_hits(rows, text, v), None
+    if trace:
+        hit_rows, places = hit_rows.withColumn("places", offset_map(source, folded)), F.col("places")
 
     def advance(acc: Column, n: Column) -> Column:
-        where = locate(source, folded, n["text"], acc["cursor"], verbatim=True)
+        where = locate(source, folded, n["text"], acc["cursor"], True, places)
         return X.let(
             where,
             lambda w: F.struct(
@@ -202,7 +246,7 @@ def read_with_tables(
             for attribute, hits in owned.items():
                 raw = first_owned(hits)
                 if trace:
-                    span = locate(source, folded, raw, F.coalesce(place["start"], F.lit(0)), verbatim=True)
+                    span = locate(source, folded, raw, F.coalesce(place["start"], F.lit(0)), True, places)
                     out += [
                         raw.alias(f"{attribute}_raw"),
                         span["start"].alias(f"{attribute}_start"),
@@ -222,7 +266,7 @@ def read_with_tables(
 
     read = hit_rows.withColumn("placed", placed).withColumn("elements", F.transform("names", element))
     return (
-        X.computed_once(read.drop("placed"), ["elements"])
+        X.computed_once(read.drop("placed", "places"), ["elements"])
         .withColumns(
             {
                 "out_of_family": F.lit(False),
@@ -265,7 +309,7 @@ def read_with_responses(
 
             def judged(c: Column) -> Column:
                 return X.let(
-                    locate(source, folded, c["evidence"], F.coalesce(place["start"], F.lit(0))),
+                    locate(source, folded, c["evidence"], F.coalesce(place["start"], F.lit(0)), places=F.col("places")),
                     lambda w: F.struct(
                         F.when(w["found"], c["value"]).alias("raw"),
                         F.when(c["value"].isNotNull() & w["found"], w["start"]).alias("start"),
@@ -320,7 +364,7 @@ def read_with_responses(
             )
             return F.when(w["found"], kept).otherwise(dropped)
 
-        return X.let(locate(source, folded, e["evidence"], acc["cursor"]), placed)
+        return X.let(locate(source, folded, e["evidence"], acc["cursor"], places=F.col("places")), placed)
 
     unreadable = F.size(F.coalesce("elements", F.array().cast(_response_elements()))) - F.size(readable)
     lost_first = F.transform(
@@ -334,7 +378,8 @@ def read_with_responses(
     skipped = D.is_empty_description(source, names, F.col("standards"))
     claimed_out = F.coalesce("out_of_family", F.lit(False))
     contradicted = claimed_out & (F.size(names) > 0)
-    read = joined.withColumn("checked", F.aggregate(readable, start, step)).withColumn("lost_first", lost_first)
+    mapped = joined.withColumn("places", offset_map(source, folded))
+    read = mapped.withColumn("checked", F.aggregate(readable, start, step)).withColumn("lost_first", lost_first)
     contradiction = F.when(
         contradicted,
         F.array(audit(F.lit("(row)"), F.lit("(out of family contradicted by the table)"), D.name_value(F.get(names, F.lit(0))["text"], v))),

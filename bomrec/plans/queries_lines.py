@@ -855,6 +855,40 @@ def _(spark, sf):
     return part_lines(spark, sf).filter("position = 1 and measure is not null").select("row_ref", "measure_start", "measure_end")
 
 
+# Evidence for all four strategies in whole documents whose blanks are doubled and whose letters expand when
+# folded: a word as written, two words folded with one blank, two words without a blank, a text that is not there.
+
+
+@query(
+    "J22_evidence_offsets",
+    lens.sql(
+        "WITH d AS (SELECT doc_id, 'ß ﬁ  ' || replace(text, ' ', '  ') AS source, regexp_replace(split_part(text, ' ', 2), '[^A-Za-zÀ-ÿ]', '', 'g') AS a, "
+        "regexp_replace(split_part(text, ' ', 3), '[^A-Za-zÀ-ÿ]', '', 'g') AS b FROM {documents} WHERE text IS NOT NULL), "
+        "t AS (SELECT *, upper(strip_accents(source)) AS plain, upper(strip_accents(a)) AS pa, upper(strip_accents(b)) AS pb FROM d WHERE a <> '' AND b <> '' AND NOT regexp_matches(a || b, 'ß')), "
+        "m AS (SELECT doc_id, 'exact' AS strategy, strpos(source, a) AS s, length(a) AS n FROM t "
+        "UNION ALL SELECT doc_id, 'folded', CASE WHEN strpos(source, pa || ' ' || pb) > 0 THEN strpos(source, pa || ' ' || pb) ELSE length(regexp_extract(plain, '(?s)^(.*?)' || pa || '[\\s]+' || pb, 1)) + 1 END, "
+        "length(regexp_extract(plain, pa || '[\\s]+' || pb)) FROM t WHERE regexp_matches(plain, pa || '[\\s]+' || pb) "
+        "UNION ALL SELECT doc_id, 'loose', CASE WHEN strpos(source, pa || pb) > 0 THEN strpos(source, pa || pb) WHEN strpos(plain, pa || pb) > 0 THEN strpos(plain, pa || pb) "
+        "ELSE length(regexp_extract(plain, '(?s)^(.*?)' || array_to_string(regexp_extract_all(pa || pb, '.'), '[\\s]*'), 1)) + 1 END, "
+        "CASE WHEN strpos(source, pa || pb) > 0 OR strpos(plain, pa || pb) > 0 THEN length(pa || pb) "
+        "ELSE length(regexp_extract(plain, array_to_string(regexp_extract_all(pa || pb, '.'), '[\\s]*'))) END FROM t WHERE regexp_matches(plain, array_to_string(regexp_extract_all(pa || pb, '.'), '[\\s]*'))) "
+        "SELECT doc_id, strategy, CAST(s - 1 AS INT) AS start, CAST(s - 1 + n AS INT) AS \"end\" FROM m WHERE s > 0 AND n > 0"
+    ),
+)
+def _(spark, sf):
+    letters = lambda n: F.regexp_replace(F.split_part("text", F.lit(" "), F.lit(n)), "[^A-Za-zÀ-ÿ]", "")
+    docs = spread(lens.frame(spark, sf, "SELECT doc_id, text FROM {documents} WHERE text IS NOT NULL")).withColumns({"a": letters(2), "b": letters(3)})
+    docs = docs.where("a <> '' AND b <> '' AND NOT contains(a || b, 'ß')")
+    source = F.concat(F.lit("ß ﬁ  "), F.replace("text", F.lit(" "), F.lit("  ")))
+    docs = docs.select("doc_id", "a", "b", source.alias("source")).withColumn("folded", X.fold("source"))
+    docs = docs.withColumn("places", reader.offset_map(F.col("source"), F.col("folded")))
+    evidence = {"exact": F.col("a"), "folded": F.concat(X.fold("a"), F.lit(" "), X.fold("b")), "loose": F.concat(X.fold("a"), X.fold("b")), "none": F.lit("not in here \u2603")}
+    cases = F.explode(F.array(*[F.struct(F.lit(k).alias("strategy"), e.alias("evidence")) for k, e in evidence.items()])).alias("c")
+    asked = docs.select("doc_id", "source", "folded", "places", cases).select("doc_id", "source", "folded", "places", "c.*")
+    where = reader.locate(F.col("source"), F.col("folded"), F.col("evidence"), F.lit(0), places=F.col("places"))
+    return asked.withColumn("w", where).where("w.found").select("doc_id", "strategy", "w.start", "w.end")
+
+
 def flagship(spark, sf):
     return status_by_family(spark, sf).orderBy("family", "status")
 

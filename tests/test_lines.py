@@ -199,3 +199,24 @@ def test_ambiguous_and_negative_finishes(spark):
     df = spark.createDataFrame([("ral",), ("zn",), ("Zinc plated",), ("mate",)], "t string")
     got = {r.t: r.k for r in df.select("t", normalize.resolve_finish(F.col("t"), v)["kind"].alias("k")).collect()}
     assert got == {"ral": "not_a_finish", "zn": "ambiguous", "Zinc plated": "known", "mate": "unknown"}
+
+
+def test_offsets_where_folding_moves_them(spark):
+    cases = [
+        ("Straße  M8   tuerca  é x", "TUERCA", (13, 19)), ("Straße  M8   tuerca", "STRASSE M8", (0, 10)), ("Straße  M8   tuerca", "m8tuerca", (8, 19)),
+        ("  ﬁx   bolt ", "FIX BOLT", (2, 11)), ("áb  c", "AB C", (0, 6)), ("x  y", "x  y", (0, 4)), ("x  y", "q", None), ("x  y", " ", ()),
+        ("ß  NUT ß  NUT", "nut ss", (3, 8)), ("M8 tuerca", "m8tuerca", (0, 9)), ("M8   tuerca", "M8 TUERCA", (0, 11)),
+    ]
+    df = spark.createDataFrame([(i, t, e) for i, (t, e, _) in enumerate(cases)], "i int, t string, e string").withColumn("f", X.fold("t"))
+    df = df.withColumn("places", reader.offset_map(F.col("t"), F.col("f")))
+    got = df.withColumn("w", reader.locate(F.col("t"), F.col("f"), F.col("e"), F.lit(0), places=F.col("places"))).orderBy("i").collect()
+    for (text, evidence, want), r in zip(cases, got, strict=True):
+        span = None if not r.w.found else () if r.w.start is None else (r.w.start, r.w.end)
+        assert span == want, (text, evidence, r.w)
+
+
+def test_repeated_evidence_moves_on_behind_the_cursor(spark):
+    df = spark.createDataFrame([("ß   nut   and ß   nut",)], "t string").withColumn("f", X.fold("t"))
+    df = df.withColumn("places", reader.offset_map(F.col("t"), F.col("f")))
+    at = [df.select(reader.locate(F.col("t"), F.col("f"), F.lit("SS NUT"), F.lit(c), places=F.col("places"))["start"]).first()[0] for c in (0, 1, 15)]
+    assert at == [0, 14, 0]
