@@ -19,11 +19,11 @@ from bomrec.llm.tokens import blocks, text_bytes
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
-BLOCK_BYTES = 8 << 20
-JOIN_ROWS, LARGE_GROUP = 4 << 20, 64
+BLOCK_BYTES = 1 << 20
+JOIN_ROWS, LARGE_GROUP = 1 << 20, 64
 #: Vocabularies up to this size have their best counts broadcast, one row for each id of the first.
 SMALL_VOCABULARY = 1 << 18
-KNOWN_PIECES, KNOWN_LENGTH = 400_000, 64
+KNOWN_PIECES, KNOWN_LENGTH = 100_000, 64
 #: Fixed value: how byte-level vocabularies split texts before merging.
 SPLIT = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 PLAIN = regex.compile("[\t\n\r -~\u00a0-\u017f\u2013\u2014\u2018-\u201e\u2026]*")
