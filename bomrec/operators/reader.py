@@ -48,16 +48,17 @@ def offset_map(source: Column, folded: Column) -> Column:
     and white space to one blank after another character, none at the ends. The running sum of these numbers
     is the map, written as the source index repeated so often.
     """
-    single = X.WHITESPACE[:-1]
+    blanks = [chr(c) for c in (*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)]
     characters = F.regexp_extract_all(source, F.lit("(?s)(.)"), F.lit(1))
     stop = F.length(F.regexp_replace(source, X.WHITESPACE + "$", ""))
 
-    def width(all_: Column, c: Column, i: Column) -> Column:
-        before = F.get(all_, i - 1)
-        blank = (i > 0) & (i < stop) & ~before.rlike(single)
-        return F.when(c.rlike(single), blank.cast("int")).otherwise(F.length(F.upper(X.strip_accents(c))))
+    def width(known: Column, c: Column, i: Column) -> Column:
+        begins = (i > 0) & (i < known["stop"]) & ~F.get(known["cs"], i - 1).isin(*blanks)
+        plain = F.ascii(c) < 128
+        return F.when(c.isin(*blanks), begins.cast("int")).when(plain, 1).otherwise(F.length(F.upper(X.strip_accents(c))))
 
-    places = X.let(characters, lambda cs: F.flatten(F.transform(cs, lambda c, i: F.array_repeat(i, width(cs, c, i)))))
+    known = F.struct(characters.alias("cs"), stop.alias("stop"))
+    places = X.let(known, lambda k: F.flatten(F.transform(k["cs"], lambda c, i: F.array_repeat(i, width(k, c, i)))))
     checked = X.let(places, lambda p: F.when(F.size(p) == F.length(folded), p))
     # Lengths that agree by chance, an expanding letter and a run of blanks, are moved as well.
     moved = (F.length(source) != F.length(folded)) | (F.length(F.upper(X.strip_accents(source))) != F.length(source))
