@@ -195,7 +195,7 @@ class Scanner:
     def __init__(self, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> None:
         self.rules = rules
         graph, starts, ends = Graph(), [], []
-        self.back, self.ahead = [], []
+        self.back, self.ahead, self.again = [], [], []
         for rule in rules:
             tree = patterns.parse(rule.text())
             starts.append(graph.state())
@@ -204,6 +204,7 @@ class Scanner:
             begin = own.state()
             end = own.add(tree, begin)
             self.ahead.append(Automaton(own, [begin], [end], False))
+            self.again.append(Automaton(own, [begin], [end], True))
             self.back.append(Automaton(own.reversed(), [end], [begin], False))
         self.all = Automaton(graph, starts, ends, True)
 
@@ -241,16 +242,34 @@ class Scanner:
         return best
 
     def spans(self, text: bytes) -> list[tuple[int, int, int]]:
-        """(start, rule, end) in bytes, leftmost and not overlapping within a rule, by start and rule."""
-        found, reached = [], [0] * len(self.rules)
+        """(start, rule, end) in bytes, leftmost and not overlapping within a rule, by start and rule.
+
+        Matches may not begin before the last one of their rule ended, but the one pass also says where those
+        end that did. When the way back from such an end shows no start, the rule's own automaton, begun
+        where the last match ended, goes on beside the pass until it is satisfied itself, so that every byte
+        is seen a bounded number of times.
+        """
+        found, n = [], len(self.rules)
+        reached, at = [0] * n, [0] * n
+        rows: list[list | None] = [None] * n
         for end, mask in self.satisfied(text):
             for r, rule in enumerate(self.rules):
-                if mask >> r & 1 and end > reached[r]:
+                if not mask >> r & 1 or end <= reached[r]:
+                    continue
+                if rows[r] is None:
                     start = self.start(r, text, end, reached[r])
-                    if start is not None:
-                        reached[r] = self.stop(r, text, start)
-                        if reached[r] - end + 1 >= rule.least_tail:
-                            found.append((start, r, reached[r]))
+                    if start is None:
+                        rows[r], at[r] = self.again[r].begin, reached[r]
+                if rows[r] is not None:
+                    row, classes = rows[r], self.again[r].classes
+                    for i in range(at[r], end):
+                        row = row[classes[text[i]]]
+                    rows[r], at[r] = row, end
+                    start = self.start(r, text, end, reached[r]) if row[-1] else None
+                if start is not None:
+                    reached[r], rows[r] = self.stop(r, text, start), None
+                    if reached[r] - end + 1 >= rule.least_tail:
+                        found.append((start, r, reached[r]))
         return sorted(found)
 
 
@@ -278,7 +297,8 @@ def scan_secrets(
     walked once. Only where a rule is satisfied do the rule's own automata fix the span: leftmost start
     after the last span of its kind, longest end. Spans are half-open and count code points.
 
-    Null counts as the empty text, which has no spans. Each row is judged by itself, so repeated ids and
+    Null counts as the empty text, which has no spans. Texts may be of any length and hold any runs: the work
+    is in proportion to their length. Each row is judged by itself, so repeated ids and
     texts repeat their result; an empty table gives no rows. Other columns are ignored.
 
     Returns (id, spans array<struct<kind, start, stop>>, n (map from base kind to its number of spans),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import uuid
 from dataclasses import dataclass
 
@@ -14,6 +15,9 @@ KEYS = ("source", "lang", "tokenizer")
 #: How the byte-level vocabularies split texts before merging.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+LONG_BLANK = 1000
+#: Fixed value: the characters that the split rule takes for white space.
+BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_BLANK)
 
 
 def encoder(path: str, pattern: str = SPLIT):
@@ -25,8 +29,29 @@ def encoder(path: str, pattern: str = SPLIT):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def counter(encoding):
+    """A function that counts the tokens of a text, whatever runs of white space it has.
+
+    The split rule steps back through white space to leave its last character to the word behind, for which
+    its engine has no room in runs of a million. A long run is cut out: all but its last character is one piece
+    by that rule (all of it where the text ends), and is merged as such; the rest is what it would be.
+    """
+
+    def count(text: str) -> int:
+        n, begin = 0, 0
+        for run in BLANKS.finditer(text):
+            stop = run.end() if run.end() == len(text) else run.end() - 1
+            n += len(encoding.encode_ordinary(text[begin : run.start()]))
+            n += len(encoding._core_bpe.encode_single_piece(text[run.start() : stop].encode()))
+            begin = stop
+        return n + len(encoding.encode_ordinary(text[begin:]))
+
+    return count
+
+
 def count_tokens(docs: DataFrame, text_col: str, out: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Append the number of tokens of each whole text; a null text has none.
+    """Append the number of tokens of each whole text; a null or empty text has none, and texts and runs of one
+    character may be of any length.
 
     The vocabulary file is read by the tasks and must be at the same path on all machines.
     """
@@ -36,10 +61,10 @@ def count_tokens(docs: DataFrame, text_col: str, out: str, vocabulary: str = VOC
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def count(batches):
-        encode = None
+        tokens_of = None
         for batch in batches:
-            encode = encode or encoder(vocabulary).encode_ordinary
-            n = [0 if text is None else len(encode(text)) for text in (v.as_py() for v in batch.column(at))]
+            tokens_of = tokens_of or counter(encoder(vocabulary))
+            n = [0 if text is None else tokens_of(text) for text in (v.as_py() for v in batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], [*keep, out])
 
     return docs.mapInArrow(count, f"{schema}, `{out}` long")

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import fixtures
 import numpy as np
@@ -286,3 +287,34 @@ def test_token_counts_are_those_of_the_vocabulary(spark):
 def test_shared_dir_is_the_sessions(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert shared_dir(spark) == named if named else shared_dir(spark)
+
+
+def test_secret_spans_where_values_hold_keywords():
+    assign = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    rng = random.Random(8)
+    scanner = secrets.compiled((*secrets.BASE_RULES, *secrets.MORE_RULES))
+    for _ in range(3000):
+        text = "".join(rng.choice(["token=", "secret:", "token", "x", "=", ":", "ab", " ", "'", "apikey", "eyJ", "."]) for _ in range(rng.randint(0, 25)))
+        wanted = [(m.start(), m.end()) for m in assign.finditer(text) if len(m[1]) >= 8]
+        assert [(s, e) for s, r, e in scanner.spans(text.encode()) if r == 0] == wanted, text
+
+
+@pytest.mark.parametrize("text", ["token=xsecret:" + "n" * 1_000_000, "token=xsecret=" + "n" * 1_000_000, "token=" * 170_000, "eyJ" * 300_000, "AKIA" * 250_000])
+def test_secret_scan_is_linear(text):
+    start = time.process_time()
+    secrets.compiled((*secrets.BASE_RULES, *secrets.MORE_RULES)).spans(text.encode())
+    assert time.process_time() - start < 15
+
+
+def test_token_counts_of_long_runs(spark):
+    encoding = token_counts.encoder(token_counts.VOCABULARY)
+    count = token_counts.counter(encoding)
+    rng = random.Random(3)
+    blanks = [" ", "\n", "\t", " ", "\r\n", " "]
+    for _ in range(60):
+        parts = [rng.choice(["word", "'s", "12", "...", "é", "\x1c"]) if rng.random() < 0.5 else rng.choice(blanks) * rng.randint(990, 2500) for _ in range(rng.randint(1, 6))]
+        text = "".join(parts)
+        assert count(text) == len(encoding.encode_ordinary(text)), parts
+    long = [(i, c * 2_000_000 + "x") for i, c in enumerate([" ", "\n", "a", "1"])] + [(9, " " * 1_000_000)]
+    got = {r[0]: r[1] for r in token_counts.count_tokens(spark.createDataFrame(long, "id int, text string"), "text", "n").select("id", "n").collect()}
+    assert got == {0: 2_000_000, 1: 1_000_002, 2: len(encoding.encode_ordinary("a" * 2_000_000 + "x")), 3: got[3], 9: 1_000_000}
