@@ -2,6 +2,8 @@
 
 import datetime
 import json
+import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,51 +110,121 @@ def _drain(writer, tmp_path, name):
     assert query.exception() is None
 
 
-def test_first_milestones_and_entries(spark, tmp_path):
-    ts = spark.sql("SELECT timestamp'2026-01-01 00:00:00' AS t").first().t
-    df = spark.createDataFrame([("p", "r", "f", "rfq_sent", ts, 1), ("p", "r", "f", "rfq_sent", ts, 2), ("p", "r", "g", "rfq_sent", ts, 3)], MILESTONE)
-    out = feeds.first_milestones(_stream(spark, df, tmp_path, "m"))
-    _drain(out.writeStream.format("memory").queryName("milestones_out").outputMode("append"), tmp_path, "m")
-    assert spark.table("milestones_out").count() == 2
-    entries = feeds.first_seen_entries(_stream(spark, df.select(F.col("flow_id").alias("entry_id"), "ts", "seq"), tmp_path, "e"))
-    _drain(entries.writeStream.format("memory").queryName("entries_out").outputMode("append"), tmp_path, "e")
-    assert spark.table("entries_out").count() == 2
-
-
-def test_vocabulary_feed_is_idempotent(spark, tmp_path):
-    schema = "action string, id string, at string, seq long, alias string"
-    df = spark.createDataFrame([("add", "a", "1", 1, "ZN"), ("retire", "a", "2", 2, None), ("add", "b", "1", 3, "HDG")], schema)
-    seen, state = [], {}
-
-    def publish(frame, epoch):
-        state.update({r.id: r.retired_at for r in frame.collect()})
-
-    def history():
-        return seen[0] if seen else None
-
-    for n in range(2):
-        stream = _stream(spark, df, tmp_path, f"v{n}")
-        _drain(feeds.vocabulary_updates(stream, publish, history), tmp_path, f"v{n}")
-        seen[:] = [df]
-    assert state == {"a": "2", "b": None}
-
-
-def test_live_pairs_equal_batch_pairs(spark, tmp_path):
+@pytest.fixture(scope="module")
+def stateful(spark):
     pytest.importorskip("google.protobuf")
-    schema = "session_id string, line_id string, ts timestamp, seq long, event_type string"
-    t0 = datetime.datetime(2026, 1, 1)
-    kinds = ["saved", "started", "started", "saved", "saved", "other", "started"]
-    rows = [(s, "l", t0 + datetime.timedelta(seconds=10 * i), i, k) for s in ("a", "b") for i, k in enumerate(kinds)]
-    df = spark.createDataFrame(rows, schema)
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
-    out = feeds.live_correction_pairs(_stream(spark, df, tmp_path, "pairs"))
-    _drain(out.writeStream.format("memory").queryName("pairs_out").outputMode("append"), tmp_path, "pairs")
-    live = sorted((r.session_id, r.seconds) for r in spark.table("pairs_out").collect())
-    batch = sorted((r.session_id, r.seconds) for r in kpi.correction_pairs(df).collect())
-    assert live == batch == [("a", 10.0), ("b", 10.0)]
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield spark
+    spark.conf.unset(key)
+
+
+def _batches(spark, batches, schema, tmp_path, name):
+    """One file, and so one micro-batch, for each list of rows."""
+    source = tmp_path / name
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source / f"b={i}"))
+    flat = tmp_path / f"{name}-flat"
+    flat.mkdir()
+    for i in range(len(batches)):
+        (part,) = (source / f"b={i}").glob("part-*.parquet")
+        part.rename(flat / f"{i:04}.parquet")
+        os.utime(flat / f"{i:04}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    frame = spark.createDataFrame([], schema)
+    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(flat))
+
+
+DAY = datetime.datetime(2026, 1, 1)
+
+
+def _milestones():
+    rng = random.Random(6)
+    seqs = list(range(200))
+    rng.shuffle(seqs)
+    rows = [(f"p{rng.randrange(4)}", "r", f"f{rng.randrange(3)}", rng.choice(["rfq_sent", "po_sent"]), DAY + datetime.timedelta(minutes=s + rng.randrange(-20, 20)), s) for s in seqs]
+    return rows, [rows[i : i + 40] for i in range(0, 200, 40)]
+
+
+def test_first_milestone_by_seq_from_batches_out_of_order(stateful, tmp_path):
+    rows, batches = _milestones()
+    stream = _batches(stateful, batches, MILESTONE, tmp_path, "m")
+    _drain(feeds.first_milestones(stream).writeStream.format("memory").queryName("milestones_out").outputMode("update"), tmp_path, "m")
+    told = {}
+    for r in stateful.table("milestones_out").collect():
+        key = (r.project_id, r.flow_id, r.event_type)
+        told[key] = min(told.get(key, r.seq), r.seq)
+    batch = feeds.first_milestones(stateful.createDataFrame(rows, MILESTONE)).collect()
+    assert told == {(r.project_id, r.flow_id, r.event_type): r.seq for r in batch} and len(batch) == 24
+    assert {(r.project_id, r.flow_id, r.event_type, r.seq, r.ts) for r in batch} <= {(p, f, k, s, t) for p, _, f, k, t, s in rows}
+
+
+def test_first_milestone_is_told_once_behind_the_watermark(stateful, tmp_path):
+    rows, batches = _milestones()
+    late = [("end", "r", "f", "x", DAY + datetime.timedelta(days=9), 900)]
+    again = [(*r[:4], DAY + datetime.timedelta(days=10), 1000 + r[5]) for r in rows[:50]]
+    end = [("end", "r", "f", "y", DAY + datetime.timedelta(days=30), 2000)]
+    stream = _batches(stateful, [*batches, late, again, end], MILESTONE, tmp_path, "w")
+    out = feeds.first_milestones(stream, "1 day")
+    _drain(out.writeStream.format("memory").queryName("told_out").outputMode("append"), tmp_path, "w")
+    got = sorted((r.project_id, r.flow_id, r.event_type, r.seq) for r in stateful.table("told_out").collect() if r.project_id != "end")
+    batch = feeds.first_by_seq(stateful.createDataFrame(rows, MILESTONE), list(feeds.MILESTONE_KEY)).collect()
+    assert got == sorted((r.project_id, r.flow_id, r.event_type, r.seq) for r in batch)
+
+
+def test_first_seen_entries(stateful, tmp_path):
+    schema = "entry_id string, ts timestamp, seq long"
+    batches = [[("a", DAY, 5), ("b", DAY, 2)], [("a", DAY, 3), ("b", DAY, 9)], [("a", DAY, 4), ("c", DAY, 1)]]
+    stream = _batches(stateful, batches, schema, tmp_path, "e")
+    _drain(feeds.first_seen_entries(stream).writeStream.format("memory").queryName("entries_out").outputMode("update"), tmp_path, "e")
+    assert sorted((r.entry_id, r.seq) for r in stateful.table("entries_out").collect()) == [("a", 3), ("a", 5), ("b", 2), ("c", 1)]
+
+
+def test_vocabulary_feed_is_idempotent_and_equals_the_fold(stateful, tmp_path):
+    from bomrec.operators.catalog import current_entries
+
+    schema = "action string, id string, at string, seq long, alias string, value string"
+    rng = random.Random(11)
+    log = []
+    for seq in range(120):
+        kind = rng.choice(["add", "add", "retire"])
+        log.append((kind, f"e{rng.randrange(12)}", f"t{rng.randrange(30)}", seq, f"alias {seq}" if kind == "add" else None, None))
+    shuffled = [log[:40], log[80:], log[40:80], log[:60]]  # out of order, and part of it again
+    stream = _batches(stateful, shuffled, schema, tmp_path, "v")
+    _drain(feeds.publish_updates(feeds.vocabulary_updates(stream), str(tmp_path / "out")), tmp_path, "v")
+    updates = stateful.read.parquet(str(tmp_path / "out"))
+    columns = ["id", "decided_at", "alias", "retired_at"]
+    want = sorted(tuple(r) for r in current_entries(stateful.createDataFrame(log, schema)).select(columns).collect())
+    assert sorted(tuple(r) for r in feeds.latest_entries(updates).select(columns).collect()) == want
+    last = [tuple(r) for r in updates.where("epoch = 3").collect()]
+    assert last == []  # what comes again tells nothing
+    feeds.compact_updates(stateful, str(tmp_path / "out"), str(tmp_path / "small"))
+    small = stateful.read.parquet(str(tmp_path / "small"))
+    assert sorted(tuple(r) for r in feeds.latest_entries(small).select(columns).collect()) == want and small.count() == len(want)
+
+
+PAIRS = "session_id string, line_id string, ts timestamp, seq long, event_type string"
+
+
+def test_live_pairs_equal_batch_pairs(stateful, tmp_path):
+    rng = random.Random(3)
+    rows = [(rng.choice("abc"), "l", DAY + datetime.timedelta(seconds=10 * i), i, rng.choice(["started", "saved", "saved", "other", "started"])) for i in range(150)]
+    stream = _batches(stateful, [rows[i : i + 25] for i in range(0, 150, 25)], PAIRS, tmp_path, "pairs")
+    _drain(feeds.live_correction_pairs(stream).writeStream.format("memory").queryName("pairs_out").outputMode("append"), tmp_path, "pairs")
+    live = sorted((r.session_id, r.started_at, r.seconds) for r in stateful.table("pairs_out").collect())
+    batch = sorted((r.session_id, r.started_at, r.seconds) for r in kpi.correction_pairs(stateful.createDataFrame(rows, PAIRS)).collect())
+    assert live == batch and len(live) > 10
+
+
+def test_open_starts_expire(stateful, tmp_path):
+    at = lambda hours: DAY + datetime.timedelta(hours=hours)
+    batches = [
+        [("a", "l", at(0), 0, "started"), ("b", "l", at(0), 1, "started")], [("c", "l", at(10), 2, "started")], [("c", "l", at(10.5), 3, "started")],
+        [("b", "l", at(11), 4, "started"), ("a", "l", at(11), 5, "saved")], [("b", "l", at(11.5), 6, "saved"), ("c", "l", at(11.5), 7, "saved")],
+    ]
+    stream = _batches(stateful, batches, PAIRS, tmp_path, "expire")
+    out = feeds.live_correction_pairs(stream, lateness="1 minute", lifetime_seconds=2 * 3600)
+    _drain(out.writeStream.format("memory").queryName("expire_out").outputMode("append"), tmp_path, "expire")
+    assert sorted((r.session_id, r.seconds) for r in stateful.table("expire_out").collect()) == [("b", 1800.0), ("c", 3600.0)]
 
 
 def test_quotation_file(spark, tmp_path):
