@@ -443,3 +443,22 @@ def reader_diagnostics(read: DataFrame) -> DataFrame:
         F.coalesce(F.sum(rejected), F.lit(0)).alias("rejected_counts"),
         F.count_if("out_of_family").alias("out_of_family_rows"),
     )
+
+
+def find_evidence_join(rows: DataFrame, key: str, text: str, evidence: DataFrame) -> DataFrame:
+    """F2 between any number of texts and pieces of evidence (evidence_id, evidence): the pairs in which the
+    text literally holds the evidence, white space and case aside.
+
+    Evidence of three words or more holds a word that must stand by itself in the text. Its longest such word
+    meets the distinct words of the texts in an equi-join; what met comes back as one list for each text and
+    is compared there. ``key`` is unique; shorter evidence is not found here but by ``evidence_matches``.
+    """
+    folded = evidence.select("evidence_id", X.evidence_fold("evidence").alias("needle"))
+    inner = F.slice(F.split("needle", " "), F.lit(2), F.greatest(F.size(F.split("needle", " ")) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"]
+    asked = folded.withColumn("word", longest).where(F.col("word").isNotNull())
+    texts = rows.select(F.col(key), X.evidence_fold(text).alias("folded"))
+    words = texts.select(key, F.explode(F.array_distinct(F.split("folded", " "))).alias("word"))
+    met = words.join(asked, "word").groupBy(key).agg(F.collect_list(F.struct("evidence_id", "needle")).alias("met"))
+    held = F.filter("met", lambda m: F.contains(F.col("folded"), m["needle"]))
+    return texts.join(met, key).select(key, F.explode(held).alias("m")).select(key, "m.evidence_id")

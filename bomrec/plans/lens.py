@@ -31,6 +31,11 @@ def _frame(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables_of(text)})
 
 
+def over(events: DataFrame, text: str) -> DataFrame:
+    """The lens over a frame of events, which may be a stream."""
+    return events.sparkSession.sql(text, events=events)
+
+
 def sql(text: str) -> str:
     return text.format(**{t: t for t in TABLES})
 

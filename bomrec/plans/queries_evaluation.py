@@ -233,7 +233,8 @@ SELECT 'model-' || CAST(l_suppkey % 8 AS STRING) AS model, 'run-' || CAST(l_supp
   CASE l_linenumber % 4 WHEN 0 THEN 'silent_error_rate' WHEN 1 THEN 'useful_autonomy' WHEN 2 THEN 'split_fidelity' ELSE 'queue_noise' END AS name,
   CAST(max(l_partkey) % 100 AS DOUBLE) AS value FROM {lineitem} GROUP BY 1, 2, 3, 4
 """
-_RUN_METRICS = "SELECT 'global' AS scope, CASE WHEN l_partkey % 5 = 0 THEN 'silent_error_rate' WHEN l_partkey % 5 = 1 THEN 'cost_eur' WHEN l_partkey % 5 = 2 THEN 'latency_ms' ELSE 'm' || CAST(l_partkey % 40 AS STRING) END AS name, CASE WHEN min(l_partkey) % 11 = 3 THEN NULL ELSE max(l_suppkey % 50) * 1.0 END AS value FROM {{lineitem}} WHERE l_suppkey % 3 <> {skip} AND l_partkey % 40 <> {skip} GROUP BY 1, 2"
+# Two runs over all lines: they differ in values, and each has a metric that the other lacks.
+_RUN_METRICS = "SELECT 'global' AS scope, CASE WHEN l_partkey % 40 = {skip} THEN 'own' || CAST({skip} AS STRING) WHEN l_partkey % 5 = 0 THEN 'silent_error_rate' WHEN l_partkey % 5 = 1 THEN 'cost_eur' WHEN l_partkey % 5 = 2 THEN 'latency_ms' ELSE 'm' || CAST(l_partkey % 40 AS STRING) END AS name, CASE WHEN min(l_partkey) % 11 = 3 THEN NULL ELSE max(CASE WHEN l_suppkey % 3 = {skip} THEN l_suppkey % 45 ELSE l_suppkey % (48 + l_partkey % 2 * {skip}) END) * 1.0 END AS value FROM {{lineitem}} GROUP BY 1, 2"
 _BASE_M, _CAND_M = _RUN_METRICS.format(skip=1), _RUN_METRICS.format(skip=2)
 
 

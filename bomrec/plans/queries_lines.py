@@ -597,10 +597,15 @@ def _(spark, sf):
     return lens.frame(spark, sf, "SELECT doc_id, text FROM {documents}").select("doc_id", F.md5(X.fold("text")).alias("folded"))
 
 
-@query("F2_evidence", lens.sql("SELECT doc_id, item_id FROM {documents} JOIN {benchmark} ON doc_id % 40 = item_id WHERE contains(upper(trim(regexp_replace(documents.text, '\\s+', ' ', 'g'))), upper(trim(regexp_replace(split_part(benchmark.text, ' ', 3) || '  ' || split_part(benchmark.text, ' ', 4), '\\s+', ' ', 'g'))))"))
+# Evidence is words two to five of every benchmark item, spaced otherwise than in the texts.
+_EVIDENCE = "split_part(text, ' ', 2) || '  ' || split_part(text, ' ', 3) || ' \t' || split_part(text, ' ', 4) || '  ' || lower(split_part(text, ' ', 5))"
+
+
+@query("F2_evidence", lens.sql(f"SELECT doc_id, item_id FROM (SELECT doc_id, upper(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM {{documents}}) AS d JOIN (SELECT item_id, upper(trim(regexp_replace({_EVIDENCE}, '\\s+', ' ', 'g'))) AS e FROM {{benchmark}}) AS b ON contains(t, e)"))
 def _(spark, sf):
-    pairs = lens.frame(spark, sf, "SELECT doc_id, item_id, d.text AS text, split_part(b.text, ' ', 3) || '  ' || split_part(b.text, ' ', 4) AS evidence FROM {documents} AS d JOIN {benchmark} AS b ON doc_id % 40 = item_id")
-    return pairs.filter(X.evidence_matches("text", "evidence")).select("doc_id", "item_id")
+    docs = spread(lens.frame(spark, sf, "SELECT doc_id, text FROM {documents}"))
+    evidence = lens.frame(spark, sf, f"SELECT item_id AS evidence_id, {_EVIDENCE} AS evidence FROM {{benchmark}}")
+    return reader.find_evidence_join(docs, "doc_id", "text", evidence).select("doc_id", F.col("evidence_id").alias("item_id"))
 
 
 @query("F3_compare", lens.sql("SELECT p_partkey, nullif(nullif(upper(CASE p_partkey % 5 WHEN 0 THEN ' ' WHEN 1 THEN '—' ELSE p_name END), '—'), '') AS key FROM {part} WHERE p_partkey % 5 <> 0 UNION ALL SELECT p_partkey, NULL FROM {part} WHERE p_partkey % 5 = 0"))

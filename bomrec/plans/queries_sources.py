@@ -12,6 +12,7 @@ from bomrec.plans.registry import query
 from bomrec.session import shared_folder
 from bomrec.sources import cells as S
 from bomrec.sources import records, split
+from bomrec.streaming import feeds
 
 # One file per supplier. Row 1 is a title, row 2 (in every tenth file row 32) the header, then data: one
 # row per part the supplier ships. Some files have a column without a header inside the table. Files differ in their headers, some lack a quantity or an item column, some have a
@@ -125,13 +126,64 @@ def _(spark, sf):
     return S.realign_by_position(S.source_rows(_cells(spark, sf)), reference).select("file", "row_number", "item_ref")
 
 
-_ENTRY_EVENTS = "SELECT CAST(user_id AS STRING) AS entry_id, CAST(ts AS TIMESTAMP) AS ts, event_id AS seq FROM {events} WHERE event_type IN ('signup', 'view')"
+_ENTRY_EVENTS = "SELECT CAST(user_id AS STRING) AS entry_id, CAST(ts AS TIMESTAMP) AS ts, event_id AS seq FROM {events}"
 
 
-@query("T4_first_seen_entries", lens.sql("SELECT CAST(user_id AS VARCHAR) AS entry_id, min(event_id) AS seq FROM {events} WHERE event_type IN ('signup', 'view') GROUP BY 1"))
+@query("T4_first_seen_entries", lens.sql("SELECT CAST(user_id AS VARCHAR) AS entry_id, min(event_id) AS seq FROM {events} GROUP BY 1"))
 def _(spark, sf):
-    events = lens.frame(spark, sf, _ENTRY_EVENTS)
-    return events.groupBy("entry_id").agg(F.min("seq").alias("seq"))
+    return feeds.first_seen_entries(lens.frame(spark, sf, _ENTRY_EVENTS)).select("entry_id", "seq")
+
+
+# -- feeds: the events as a stream, read to its end in micro-batches ---------------------------------------------
+
+
+def _streamed(spark, sf, what, make, mode):
+    """The rows that a streaming job over the events tells until it has read them all."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    session.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    source = f"{sf}/events.parquet"
+    # A pattern, because a stream takes a path without one for a folder.
+    events = session.readStream.schema(session.read.parquet(source).schema).parquet(f"{source[:-1]}[{source[-1]}]")
+    path, out = _folder(spark, what), make(events)
+
+    def keep(batch, epoch):
+        batch.write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
+
+    writer = out.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/rows/*")
+
+
+@query("T1_streamed_milestones", f"SELECT project_id, revision_id, flow_id, event_type, min(seq) AS seq FROM ({lens.sql(lens.MILESTONES)}) AS m GROUP BY 1, 2, 3, 4")
+def _(spark, sf):
+    told = _streamed(spark, sf, "milestones", lambda e: feeds.first_milestones(lens.over(e, lens.MILESTONES)), "update")
+    return feeds.first_by_seq(told, list(feeds.MILESTONE_KEY)).select(*feeds.MILESTONE_KEY, "seq")
+
+
+@query(
+    "T2_streamed_pairs",
+    f"SELECT session_id, line_id, round(epoch_us(ts) / 1e6 - epoch_us(b4_ts) / 1e6, 3) AS seconds FROM (SELECT *, lag(event_type) OVER w AS b4, lag(ts) OVER w AS b4_ts FROM ({lens.sql(lens.CORRECTION_EVENTS)}) AS e "
+    "WHERE event_type <> 'other' WINDOW w AS (PARTITION BY session_id, line_id ORDER BY ts, seq)) AS x WHERE event_type = 'saved' AND b4 = 'started'",
+)
+def _(spark, sf):
+    pairs = _streamed(spark, sf, "pairs", lambda e: feeds.live_correction_pairs(lens.over(e, lens.CORRECTION_EVENTS)), "append")
+    return pairs.select("session_id", "line_id", F.round("seconds", 3).alias("seconds"))
+
+
+_CHANGES = "SELECT CASE WHEN event_type IN ('purchase', 'error') THEN 'retire' ELSE 'add' END AS action, 'u' || CAST(user_id AS STRING) AS id, CAST(CAST(ts AS DATE) AS STRING) AS at, event_id AS seq, CASE WHEN event_type NOT IN ('purchase', 'error') THEN props END AS alias FROM {events}"
+
+
+@query(
+    "T3_streamed_entries",
+    lens.sql(f"WITH l AS ({_CHANGES.replace('STRING', 'VARCHAR').replace(' AS at,', ' AS day,')}), once AS (SELECT action, id, day, min(seq) AS seq, arg_min(coalesce(alias, ''), seq) AS alias FROM l GROUP BY 1, 2, 3), ")
+    + "s AS (SELECT id, arg_max(day, seq) FILTER (action = 'add') AS decided_at, arg_max(alias, seq) FILTER (action = 'add') AS alias, arg_max(action, seq) AS last_action, arg_max(day, seq) AS last_at, count(*) FILTER (action = 'add') AS adds FROM once GROUP BY id) "
+    "SELECT id, decided_at, alias, CASE WHEN last_action = 'retire' THEN last_at END AS retired_at FROM s WHERE adds > 0",
+)
+def _(spark, sf):
+    told = _streamed(spark, sf, "entries", lambda e: feeds.vocabulary_updates(lens.over(e, _CHANGES)), "update")
+    return feeds.latest_entries(told).select("id", "decided_at", "alias", "retired_at")
 
 
 # -- record files: built from the given tables in the shared folder, read back in blocks ------------------------
