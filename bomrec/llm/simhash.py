@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bomrec.llm.common import kept
-from bomrec.llm.components import components
+from bomrec.llm.components import components, forest
 from bomrec.llm.tokens import SPACED, Words, blocks, inside_text, text_bytes
 
 BITS, RADIUS, K, SEED = 64, 3, 3, 42
@@ -114,19 +114,6 @@ class Tree:
         return tuple(np.concatenate(x) for x in zip(*hits, strict=True))
 
 
-def least_linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each of n nodes the least node that links a - b lead to."""
-    label = np.arange(n)
-    while True:
-        new = label.copy()
-        np.minimum.at(new, a, label[b])
-        np.minimum.at(new, b, label[a])
-        new = new[new]
-        if np.array_equal(new, label):
-            return label
-        label = new
-
-
 def shard_masks(n: int, tree: int = TREE) -> list[int]:
     """Bit masks so that two fingerprints within ``RADIUS`` bits agree under one of them at least.
 
@@ -184,13 +171,10 @@ def fingerprint_links(prints: DataFrame, tree: int = TREE) -> DataFrame:
             for mine, theirs in zip(batch.column(0), batch.column(1), strict=True):
                 found, asked = Tree.load(mine.as_py()), Tree.load(theirs.as_py()).values
                 i, j = found.within(asked, RADIUS)
-                values, at = np.unique(np.concatenate([asked, found.values]), return_inverse=True)
-                label = least_linked(len(values), at[i], at[len(asked) + j])
-                moved = np.flatnonzero(label != np.arange(len(values)))
-                ends = [pa.array(values[x].view(np.int64)) for x in (moved, label[moved])]
-                yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
+                ends = forest(asked[i].view(np.int64), found.values[j].view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in ends], ["a", "b"])
 
-    return pairs.mapInArrow(search, "a long, b long").distinct()
+    return pairs.mapInArrow(search, "a long, b long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, tree: int = TREE) -> DataFrame:

@@ -167,3 +167,23 @@ def test_scan_keeps_groups_that_batches_cut(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert small == sorted(tuple(r) for r in variants.near_words(words_).collect()) and small
     assert set(CLASHING)
+
+
+@pytest.mark.parametrize("one_task", [1 << 20, 0])
+def test_components_of_chains_stars_and_rings(spark, monkeypatch, one_task):
+    from bomrec.llm import components
+
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
+    rng = random.Random(12)
+    links = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 560)] + [(600 + i, 600 + (i + 1) % 30) for i in range(30)]
+    links += [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(120)] + [(-5, 7), (7, 7), (9, 9)]
+    rng.shuffle(links)
+    label = {}
+    for a, b in links:
+        x, y = label.get(a, {a}), label.get(b, {b})
+        for n in (both := x | y):
+            label[n] = both
+    got = [tuple(r) for r in components.components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect()]
+    wanted = {n: min(g) for n, g in label.items() if len(g) > 1}
+    assert len(got) == len(set(got)) and {n: x for n, x in got if n != 9} == wanted
+    assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
