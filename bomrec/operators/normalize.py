@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import re._parser as sre
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -222,6 +226,93 @@ def derive_material(raw_quality: Column, group: Column, vocabulary: Vocabulary)
     return F.when(raw_quality.isNotNull(), X.let(X.evidence_fold(raw_quality), judge))
 
 
+FACTOR = 8
+
+
+def required_text(pattern: str) -> str:
+    """A text that every match of the pattern holds, upper-cased, at most ``FACTOR`` long; '' if none is known.
+
+    Literals of the outermost sequence, of groups in it and of repeats that occur at least once are required;
+    alternatives, classes and optional parts are not. Patterns that cannot be read here require nothing.
+    """
+    try:
+        tree = sre.parse(pattern)
+    except (re.error, OverflowError, RecursionError):
+        return ""
+    best, run = "", ""
+
+    def walk(items) -> None:
+        nonlocal best, run
+        for op, value in items:
+            if op is sre.LITERAL and 0x20 <= value < 0x7F:
+                run += chr(value).upper()
+                best = max(best, run, key=len)
+            elif op is sre.SUBPATTERN and not value[1] and not value[2]:
+                walk(value[3])
+            elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and value[0] >= 1:
+                run = ""
+                walk(value[2])
+                run = ""
+            elif op is not sre.AT:
+                run = ""
+
+    walk(tree)
+    return best[:FACTOR]
+
+
+def _pattern_factors(patterns: DataFrame) -> DataFrame:
+    """(no, value, material, rule, factor) of patterns (no, value, material, rule)."""
+
+    def read(batches):
+        for batch in batches:
+            factors = [required_text(v) for v in batch.column("value").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(factors, pa.string())], [*batch.schema.names, "factor"])
+
+    return patterns.mapInArrow(read, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in patterns.schema.fields)}, factor string")
+
+
+def derive_material_join(qualities: DataFrame, entries: DataFrame, uncovered: DataFrame) -> DataFrame:
+    """J9 for derivation tables of any size, with equi-joins only.
+
+    ``qualities`` has (raw, group), ``entries`` (id, kind, value, material, decided_at) and ``uncovered`` (kind,
+    value), where kind is 'group' or 'pattern'. Groups meet by equality. Of a pattern a required text is
+    known; the distinct qualities meet patterns by their pieces of up to ``FACTOR`` characters, and the
+    expression runs on what met. Patterns that require no text meet every distinct quality.
+
+    Returns (raw, group, outcome, material, rule), one row for each distinct (raw, group); same outcomes as
+    ``derive_material``, null for a null raw. Patterns match in any case and anywhere unless anchored.
+    """
+    values = qualities.select("raw", "group").distinct().withColumn("text", X.evidence_fold("raw"))
+    one = entries.select("kind", "value", "material", F.struct("decided_at", "id").alias("rank"))
+    none = uncovered.select("kind", "value", F.lit(None).cast(one.schema["material"].dataType).alias("material"), F.lit(None).cast(one.schema["rank"].dataType).alias("rank"))
+    rules = one.unionByName(none)
+    key = F.struct("raw", "group").alias("key")
+    by_group = values.where("raw IS NOT NULL").join(
+        rules.where("kind = 'group'").select(F.col("value").alias("group"), "material", "rank"), "group"
+    ).select(key, "material", "rank")
+    patterns = rules.where("kind <> 'group'").groupBy("value").agg(F.collect_list(F.struct("material", "rank")).alias("rules"))
+    size = F.greatest(F.length("text"), F.lit(1))
+    pieces = F.flatten(F.transform(
+        F.sequence(F.lit(1), size),
+        lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(FACTOR), size - i + 1)), lambda n: F.substring(F.col("text"), i, n)),
+    ))
+    asked = values.where("raw IS NOT NULL").select(key, "text", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), pieces))).alias("factor"))
+    met = asked.join(_pattern_factors(patterns), "factor")
+    matched = met.where(F.rlike("text", F.concat(F.lit("(?i)"), "value"))).select("key", F.inline("rules"))
+    judged = by_group.unionByName(matched).groupBy("key").agg(
+        F.bool_or(F.col("rank").isNull()).alias("deliberate"), F.min("material").alias("low"), F.max("material").alias("high"),
+        F.min(F.when(F.col("rank").isNotNull(), F.struct("rank", "material"))).alias("first"),
+    )
+    found = values.join(judged, values["raw"].eqNullSafe(judged["key.raw"]) & values["group"].eqNullSafe(judged["key.group"]), "left")
+    single = ~F.col("deliberate") & (F.col("low") == F.col("high"))
+    kind = F.when(F.col("raw").isNull(), None).when(F.col("key").isNull(), "uncovered").when(F.col("deliberate"), "deliberate")
+    return found.select(
+        "raw", "group", kind.when(F.col("low") == F.col("high"), "derived").otherwise("ambiguous").alias("outcome"),
+        F.when(single, F.col("low")).alias("material"),
+        F.when(single, F.concat(F.lit("P-3:"), F.col("first.rank.id"))).alias("rule"),
+    )
+
+
 def incoherence(group: Column, name: Column, hv_scope: Column | None = None) -> Column:
     """why a quality group does not fit the element type, or null."""
     case = F.when(group.isin(*T.NUT_ONLY_GROUPS) & (name != "TUERCA"), "NUT_ONLY_QUALITY_ON_NON_NUT").when(

@@ -557,6 +557,34 @@ def _(spark, sf):
     return q.withColumn("d", normalize.derive_material(F.col("raw"), F.col("q.group"), V)).select("raw", "d.outcome", "d.material")
 
 
+# A pattern for every order, some of them deliberate gaps or with a second material, against the qualities of all lines.
+_PATTERNS = (
+    "SELECT 'd' || CAST(o_orderkey AS STRING) AS id, '^(GR\\\\.?\\\\s*)?Q' || CAST(o_orderkey AS STRING) || '(M|H)?$' AS value, CASE o_orderkey % 3 WHEN 0 THEN 'AC' WHEN 1 THEN 'INOX' ELSE 'LATON' END AS material FROM {orders} "
+    "UNION ALL SELECT 'e' || CAST(o_orderkey AS STRING), 'q' || CAST(o_orderkey AS STRING) || 'H+$', 'INOX' FROM {orders} WHERE o_orderkey % 7 = 0"
+)
+_QUALITIES = "SELECT DISTINCT CASE l_linenumber % 3 WHEN 0 THEN 'GR. ' WHEN 1 THEN 'gr' ELSE '' END || 'Q' || CAST(l_partkey AS STRING) || CASE l_suppkey % 4 WHEN 0 THEN 'M' WHEN 1 THEN 'H' WHEN 2 THEN 'X' ELSE '' END AS raw, CASE WHEN l_partkey % 10 = 0 THEN 'V-' || CAST(l_suppkey % 3 AS STRING) END AS grp, l_partkey AS n, l_suppkey % 4 AS k FROM {lineitem}"
+
+
+@query(
+    "J9_pattern_tables",
+    lens.sql(
+        f"WITH q AS ({_QUALITIES.replace('STRING', 'VARCHAR')}), m AS ("
+        "SELECT q.*, CASE n % 3 WHEN 0 THEN 'AC' WHEN 1 THEN 'INOX' ELSE 'LATON' END AS material, 'd' || CAST(n AS VARCHAR) AS id FROM q WHERE k <> 2 AND n IN (SELECT o_orderkey FROM {orders}) "
+        "UNION ALL SELECT q.*, 'INOX', 'e' || CAST(n AS VARCHAR) FROM q WHERE k = 1 AND n % 7 = 0 AND n IN (SELECT o_orderkey FROM {orders}) "
+        "UNION ALL SELECT q.*, 'AC', 'g1' FROM q WHERE grp = 'V-1'), "
+        "f AS (SELECT raw, grp, min(material) AS lo, max(material) AS hi, min(id) AS id FROM m GROUP BY raw, grp) "
+        "SELECT q.raw, q.grp, CASE WHEN k <> 2 AND n % 11 = 0 THEN 'deliberate' WHEN lo IS NULL THEN 'uncovered' WHEN lo = hi THEN 'derived' ELSE 'ambiguous' END AS outcome, "
+        "CASE WHEN lo = hi AND NOT (k <> 2 AND n % 11 = 0) THEN lo END AS material, CASE WHEN lo = hi AND NOT (k <> 2 AND n % 11 = 0) THEN 'P-3:' || id END AS rule FROM q LEFT JOIN f ON f.raw = q.raw AND f.grp IS NOT DISTINCT FROM q.grp"
+    ),
+)
+def _(spark, sf):
+    entries = lens.frame(spark, sf, _PATTERNS).select("id", F.lit("pattern").alias("kind"), "value", "material", F.lit("2026-01-01").alias("decided_at"))
+    own = spark.createDataFrame([("g1", "group", "V-1", "AC", "2026-01-01")], entries.schema)
+    gaps = lens.frame(spark, sf, "SELECT DISTINCT 'pattern' AS kind, 'Q' || CAST(l_partkey AS STRING) || '[MH]?$' AS value FROM {lineitem} WHERE l_partkey % 11 = 0")
+    qualities = lens.frame(spark, sf, _QUALITIES).withColumnRenamed("grp", "group")
+    return normalize.derive_material_join(qualities, entries.unionByName(own), gaps).withColumnRenamed("group", "grp")
+
+
 @query(
     "F4_F5_measures",
     lens.sql(

@@ -220,3 +220,24 @@ def test_repeated_evidence_moves_on_behind_the_cursor(spark):
     df = df.withColumn("places", reader.offset_map(F.col("t"), F.col("f")))
     at = [df.select(reader.locate(F.col("t"), F.col("f"), F.lit("SS NUT"), F.lit(c), places=F.col("places"))["start"]).first()[0] for c in (0, 1, 15)]
     assert at == [0, 14, 0]
+
+
+def test_required_texts():
+    cases = {
+        r"^(GR\.?\s*)?(B7M?|2HM?)$|^45H$": "", r"^(GR\.?\s*)?Q12(M|H)?$": "Q12", "abc": "ABC", "a+bcd": "BCD", "(?i)xy": "XY", "x(yz)w": "XYZW", "a?b": "B",
+        r"\bHV\d{2}": "HV", r"\p{L}x": "", "(": "", "": "", "[ab]c": "C", "(ab|cd)ef": "EF", "x(?:long)?y": "X", "abcdefghijkl": "ABCDEFGH", "(ab){2,}": "AB", "é12": "12",
+    }
+    assert {p: normalize.required_text(p) for p in cases} == cases
+
+
+def test_derivation_by_join_equals_the_inline_one(spark):
+    v = Vocabulary.closed()
+    patterns = ["^A[24]-\\d+$", "HV$", "b7", "^(GR\\.?\\s*)?(B7M?|2HM?|B16)$|^45H$", ".", "^$", "x|y", "8\\.8", "ÉT", "(?:1|2)0"]
+    v = Vocabulary(derivations=(*v.derivations, *[(f"p{i}", "pattern", p, ["INOX", "AC"][i % 2], f"2026-0{i % 3 + 1}-01") for i, p in enumerate(patterns) if p != "."]), uncovered=(*v.uncovered, ("pattern", "^NO")))
+    values = ["A2-70", "a4-80", "GR B7", "gr. b16", "8.8", "10.9", "200HV", "45H", "none", "étx", " x ", "", "20", None, "B7M é", "NOPE", "zzz"]
+    rows = spark.createDataFrame([(x, g) for x in values for g in (None, "G1", "G10", "G6")], "raw string, `group` string")
+    entries = spark.createDataFrame([(i, k, value, m, str(at)) for i, k, value, m, at in v.derivations], "id string, kind string, value string, material string, decided_at string")
+    gaps = spark.createDataFrame(list(v.uncovered), "kind string, value string")
+    got = sorted(map(str, normalize.derive_material_join(rows.union(rows), entries, gaps).collect()))
+    inline = rows.withColumn("d", normalize.derive_material(F.col("raw"), F.col("group"), v)).select("raw", "group", "d.outcome", "d.material", "d.rule")
+    assert got == sorted(map(str, inline.collect())) and len({r.split("outcome=")[1].split(",")[0] for r in got}) == 5
