@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bomrec.functions import closed_tables as T
@@ -112,6 +112,43 @@ def page(rows: DataFrame, order: list, number: int, size: int) -> DataFrame:
     return rows.orderBy(*order).offset(number * size).limit(size)
 
 
+def write_ranked(rows: DataFrame, order: list, path: str) -> None:
+    """L4: rows in order as ranges, with how many rows stand before each range.
+
+    The sort is by ranges anyway; each range becomes a folder and one row of the index, so that any page is
+    read from the ranges that it touches and nothing is counted off to get there.
+    """
+    spark = rows.sparkSession
+    ranged = rows.orderBy(*order).withColumns({"range_": F.spark_partition_id(), "at_": F.monotonically_increasing_id()})
+    ranged.write.mode("overwrite").partitionBy("range_").parquet(f"{path}/rows")
+    rows.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{path}/shape")  # a table without rows has no ranges
+    shape = spark.read.parquet(f"{path}/shape").withColumns({"range_": F.lit(0), "at_": F.lit(0).cast("long")}).schema
+    sizes = spark.read.schema(shape).parquet(f"{path}/rows").groupBy("range_").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    sizes.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).write.mode("overwrite").parquet(f"{path}/ranges")
+
+
+def ranked_page(spark: SparkSession, path: str, number: int, size: int) -> DataFrame:
+    """L4: a page of rows that ``write_ranked`` wrote; a negative number counts from the last page back.
+
+    A page beyond the last is the last, as one before the first is the first.
+    """
+    index = spark.read.parquet(f"{path}/ranges")
+    total = index.agg(F.max(F.col("start") + F.col("n"))).first()[0] or 0
+    pages = max(1, -(-total // size))
+    number = max(0, min(pages + number if number < 0 else number, pages - 1))
+    low, high = number * size, (number + 1) * size
+    # No more ranges than rows of the page.
+    touched = index.where((F.col("start") < high) & (F.col("start") + F.col("n") > low)).collect()
+    if not touched:
+        return spark.read.parquet(f"{path}/shape")
+    rows = spark.read.parquet(f"{path}/rows").where(F.col("range_").isin([r["range_"] for r in touched]))
+    starts = F.create_map(*[x for r in touched for x in (F.lit(r["range_"]), F.lit(r["start"]))])
+    rank = starts[F.col("range_")] + F.row_number().over(Window.partitionBy("range_").orderBy("at_")) - 1
+    found = rows.withColumn("rank_", rank).where((F.col("rank_") >= low) & (F.col("rank_") < high))
+    return found.orderBy("rank_").drop("range_", "at_", "rank_")
+
+
 def quotation_rows(lines: DataFrame) -> DataFrame:
     """The columns of the request-for-quotation export, in family order."""
     text = [F.coalesce(a, F.lit("")).alias(a) for a in T.ATTRIBUTES]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from bomrec.functions import closed_tables as T
@@ -13,6 +15,7 @@ from bomrec.plans import lens
 from bomrec.plans.lens import expected
 from bomrec.plans.lines import spread
 from bomrec.plans.registry import CHECKS, answered_lines, answered_read, codes, joined, order_lines, part_lines, part_read, part_rows, query, text_totals, values_sql
+from bomrec.session import shared_folder
 
 V = Vocabulary.closed()
 PIECES_SQL = lens.sql(lens.PIECES)
@@ -262,6 +265,20 @@ def _(spark, sf):
     return panel.page(part_lines(spark, sf).select("row_ref", "line_id", "position"), order, 2, 50).drop("position")
 
 
+_SHIPPED = "SELECT l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM {lineitem}"
+_SHIPPED_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+
+
+@query(
+    "L4_last_page",
+    lens.sql(f"WITH r AS (SELECT *, row_number() OVER (ORDER BY {', '.join(_SHIPPED_ORDER)}) AS k, count(*) OVER () AS n FROM ({_SHIPPED}) AS x) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM r WHERE (k - 1) // 50 = (n - 1) // 50"),
+)
+def _(spark, sf):
+    path = f"{shared_folder(spark)}/bomrec-pages-{uuid.uuid4().hex}"
+    panel.write_ranked(lens.frame(spark, sf, _SHIPPED), _SHIPPED_ORDER, path)
+    return panel.ranked_page(spark, path, -1, 50).drop("l_shipdate")
+
+
 _REFS = "SELECT DISTINCT CASE WHEN c_custkey % 3 = 0 THEN 'x' || CAST(c_nationkey AS STRING) ELSE CAST(c_custkey % 500 AS STRING) END AS ref FROM {customer}"
 
 

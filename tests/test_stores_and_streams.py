@@ -4,6 +4,7 @@ import datetime
 import json
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -234,3 +235,24 @@ def test_quotation_file(spark, tmp_path):
     text = "".join(p.read_text() for p in (tmp_path / "q").glob("*.csv")).splitlines()
     assert text[0].startswith("familia;linea_id;fila_origen;cantidad")
     assert '"8 ""x""; y"' in text[1] and text[1].endswith("LENGTH_MISSING")
+
+
+def test_ranked_pages_read_the_ranges_they_touch(spark, tmp_path):
+    from bomrec.operators import panel
+
+    values = [(i * 7919 % 1003, f"v{i % 5}") for i in range(1003)]
+    path = str(tmp_path / "pages")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        panel.write_ranked(spark.createDataFrame(values, "k int, v string").repartition(5), ["v", "k"], path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    ordered = sorted(values, key=lambda r: (r[1], r[0]))
+    page = lambda n: [tuple(r) for r in panel.ranked_page(spark, path, n, 50).collect()]
+    for n in (0, 1, 7, 19, 20):
+        assert page(n) == ordered[50 * n : 50 * n + 50]
+    assert page(-1) == page(99) == ordered[1000:] and page(-2) == page(19) and page(-99) == page(0)
+    plan = panel.ranked_page(spark, path, -1, 2)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*\(range_#\d+ = \d+\)", plan) and spark.read.parquet(f"{path}/ranges").count() > 4
+    panel.write_ranked(spark.createDataFrame([], "k int, v string"), ["k"], str(tmp_path / "none"))
+    assert panel.ranked_page(spark, str(tmp_path / "none"), 0, 5).collect() == []
