@@ -421,18 +421,22 @@ def _scan_check(table: str, key: str, text: str) -> str:
     )
 
 
-@query("J1_alias_scan_documents", _scan_check("documents", "doc_id", "text"))
+# Prose holds no catalogue names, so each text is followed by some.
+_NAMED = "{t} || CASE {k} % 5 WHEN 0 THEN ' hex bolt, tuercas' WHEN 1 THEN '; STUD BOLT/Nut' WHEN 2 THEN ' Arandela (washer)' WHEN 3 THEN ' bolt-nut espárrago' ELSE '' END"
+
+
+@query("J1_alias_scan_documents", _scan_check("documents", "doc_id", f"({_NAMED.format(t='text', k='doc_id')})"))
 def _(spark, sf):
-    docs = spread(lens.frame(spark, sf, "SELECT doc_id, text FROM {documents}"))
+    docs = spread(lens.frame(spark, sf, f"SELECT doc_id, {_NAMED.format(t='text', k='doc_id')} AS text FROM {{documents}}"))
     hits = docs.select("doc_id", X.fold("text").alias("folded")).select("doc_id", detect.name_hits(F.col("folded"), V).alias("h"))
     return hits.select("doc_id", F.explode("h.text").alias("alias")).groupBy(
         "doc_id", detect.name_value(F.col("alias"), V).alias("name")
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("J1_alias_scan_pages", _scan_check("pages", "page_id", "html"))
+@query("J1_alias_scan_pages", _scan_check("pages", "page_id", f"({_NAMED.format(t='html', k='page_id')})"))
 def _(spark, sf):
-    pages = spread(lens.frame(spark, sf, "SELECT page_id, html FROM {pages}"))
+    pages = spread(lens.frame(spark, sf, f"SELECT page_id, {_NAMED.format(t='html', k='page_id')} AS html FROM {{pages}}"))
     hits = pages.select("page_id", X.fold("html").alias("folded")).select("page_id", detect.name_hits(F.col("folded"), V).alias("h"))
     return hits.select("page_id", F.explode("h.text").alias("alias")).groupBy(
         "page_id", detect.name_value(F.col("alias"), V).alias("name")
@@ -489,13 +493,13 @@ def _phrases(spark, sf):
 @query(
     "P1_empty_description",
     lens.sql(
-        "SELECT page_id FROM {pages} WHERE false UNION ALL SELECT conv_id * 1000 + turn AS page_id FROM {conversations} WHERE "
+        "SELECT page_id FROM (SELECT conv_id * 1000 + turn AS page_id, CASE WHEN turn % 2 = 0 THEN substr(text, 1, 9) WHEN turn % 5 = 0 THEN 'nut ' || substr(text, 1, 3) ELSE text END AS text FROM {conversations}) AS c WHERE "
         "length(regexp_replace(text, '[^A-Za-zÀ-ÿ]', '', 'g')) < 8 AND NOT regexp_matches(upper(strip_accents(text)), "
         "'(^|[^A-Z0-9])(" + "|".join(sorted(_ALIASES)) + ")($|[^A-Z0-9])') AND NOT regexp_matches(upper(strip_accents(text)), '\\b(DIN|EN|ISO)\\s*[0-9]+\\b')"
     ),
 )
 def _(spark, sf):
-    turns = lens.frame(spark, sf, "SELECT conv_id * 1000 + turn AS page_id, text FROM {conversations}")
+    turns = lens.frame(spark, sf, "SELECT conv_id * 1000 + turn AS page_id, CASE WHEN turn % 2 = 0 THEN substr(text, 1, 9) WHEN turn % 5 = 0 THEN 'nut ' || substr(text, 1, 3) ELSE text END AS text FROM {conversations}")
     folded = turns.withColumn("folded", X.fold("text"))
     hits = folded.select("page_id", "text", detect.name_hits(F.col("folded"), V).alias("n"), detect.standard_hits(F.col("folded"), V).alias("s"))
     return hits.filter(detect.is_empty_description(F.col("text"), F.col("n"), F.col("s"))).select("page_id")
