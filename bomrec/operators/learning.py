@@ -46,6 +46,40 @@ def transitions(events: DataFrame, moves: dict[str, tuple[str, ...]], initial: s
     )
 
 
+def applied_transitions(events: DataFrame, moves: dict[str, tuple[str, ...]], initial: str, key: str = "id") -> DataFrame:
+    """What a machine that refuses other moves makes of the events (key, seq, action).
+
+    A refused move leaves the status as it is, so the first allowed move after the last applied one counts.
+    Machines have no cycles: one join and one combinable minimum for each step of their longest way, whatever
+    the number of events of a key.
+
+    Returns (key, status, moves, refused): the last status, null if the initial one never came, the applied
+    actions in order, and how many events were refused.
+    """
+
+    def depth(status: str) -> int:
+        return max((1 + depth(t) for t in moves.get(status, ())), default=0)
+
+    first = F.when(F.col("action") == initial, F.col("seq"))
+    state = events.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("at")).select(
+        key, "n", "at", F.when(F.col("at").isNotNull(), F.lit(initial)).alias("status"),
+        F.when(F.col("at").isNotNull(), F.array(F.lit(initial))).otherwise(F.array().cast("array<string>")).alias("moves"),
+    )
+    allowed = F.lit(False)
+    for source, targets in moves.items():
+        allowed = allowed | ((F.col("status") == source) & F.col("action").isin(*targets))
+    for _ in range(depth(initial)):
+        open_ = state.where(F.col("status").isin(*moves)).select(key, "status", F.col("at").alias("after"))
+        step = events.join(open_, key).where((F.col("seq") > F.col("after")) & allowed).groupBy(key).agg(
+            F.min(F.struct("seq", "action")).alias("step")
+        )
+        state = state.join(step, key, "left").select(
+            key, "n", F.coalesce("step.seq", "at").alias("at"), F.coalesce("step.action", "status").alias("status"),
+            F.when(F.col("step").isNull(), F.col("moves")).otherwise(F.concat("moves", F.array("step.action"))).alias("moves"),
+        )
+    return state.select(key, "status", "moves", (F.col("n") - F.size("moves")).alias("refused"))
+
+
 def current_status(events: DataFrame, key: str = "id") -> DataFrame:
     """Status of each item as the projection of its event log."""
     return events.groupBy(key).agg(F.max_by("action", "seq").alias("status"))

@@ -184,6 +184,34 @@ def _(spark, sf):
     return learning.transitions(lens.frame(spark, sf, lens.STATUS_EVENTS), learning.CORRECTION_MOVES, "PENDING")
 
 
+# Moves of every suggestion, many of which its status does not allow: some accepted twice, validated too early or
+# rejected after they were accepted, and some never shown.
+_MOVES = (
+    "SELECT o_orderkey AS id, 1 AS seq, CASE WHEN o_orderkey % 13 = 0 THEN 'ACCEPTED' WHEN o_orderkey % 4 = 1 THEN 'VALIDATED' ELSE 'SHOWN' END AS action FROM {orders} "
+    "UNION ALL SELECT o_orderkey, 2, CASE o_orderkey % 3 WHEN 0 THEN 'SHOWN' WHEN 1 THEN 'ACCEPTED' ELSE 'REJECTED' END FROM {orders} WHERE o_orderkey % 26 <> 0 "
+    "UNION ALL SELECT o_orderkey, 3, CASE o_orderkey % 5 WHEN 0 THEN 'VALIDATED' WHEN 1 THEN 'REJECTED' ELSE 'ACCEPTED' END FROM {orders} "
+    "UNION ALL SELECT o_orderkey, 4, 'VALIDATED' FROM {orders} WHERE o_orderkey % 2 = 0"
+)
+
+
+@query(
+    "G11_suggestion_moves",
+    lens.sql(
+        f"WITH e AS ({_MOVES}), s0 AS (SELECT id, min(seq) AS at FROM e WHERE action = 'SHOWN' GROUP BY id), "
+        "s1 AS (SELECT e.id, min(seq) AS at, arg_min(action, seq) AS action FROM e JOIN s0 ON s0.id = e.id AND e.seq > s0.at WHERE action IN ('ACCEPTED', 'REJECTED') GROUP BY e.id), "
+        "s2 AS (SELECT e.id, min(seq) AS at FROM e JOIN s1 ON s1.id = e.id AND e.seq > s1.at AND s1.action = 'ACCEPTED' WHERE e.action = 'VALIDATED' GROUP BY e.id), "
+        "n AS (SELECT id, count(*) AS n FROM e GROUP BY id) "
+        "SELECT n.id, CASE WHEN s2.id IS NOT NULL THEN 'VALIDATED' WHEN s1.id IS NOT NULL THEN s1.action WHEN s0.id IS NOT NULL THEN 'SHOWN' END AS status, "
+        "concat_ws('>', CASE WHEN s0.id IS NOT NULL THEN 'SHOWN' END, s1.action, CASE WHEN s2.id IS NOT NULL THEN 'VALIDATED' END) AS moves, "
+        "CAST(n - (s0.id IS NOT NULL)::INT - (s1.id IS NOT NULL)::INT - (s2.id IS NOT NULL)::INT AS BIGINT) AS refused "
+        "FROM n LEFT JOIN s0 ON s0.id = n.id LEFT JOIN s1 ON s1.id = n.id LEFT JOIN s2 ON s2.id = n.id"
+    ),
+)
+def _(spark, sf):
+    applied = learning.applied_transitions(lens.frame(spark, sf, _MOVES), learning.SUGGESTION_MOVES, "SHOWN")
+    return applied.select("id", "status", F.array_join("moves", ">").alias("moves"), "refused")
+
+
 @query("G11_suggestion_verification", f"SELECT status, verified IS NULL OR status IN ('ACCEPTED', 'VALIDATED') AS valid, CAST(count(*) AS BIGINT) AS n FROM ({_S}) AS s GROUP BY 1, 2")
 def _(spark, sf):
     return learning.valid_verifications(lens.frame(spark, sf, lens.SUGGESTIONS)).groupBy("status", "valid").agg(_n())
