@@ -55,6 +55,7 @@ def bloom(hashes: DataFrame, n: int) -> Bloom:
     kind = "piece int, data binary"
     parts = hashes.mapInPandas(collect, kind).groupBy("piece").applyInPandas(merge, kind)
     bits = np.zeros(size, np.uint8)
-    for row in parts.toLocalIterator():
+    # At most 8 MB, in one job: fetched partition by partition, each would be a job of its own.
+    for row in parts.collect():
         bits[row["piece"] * PIECE : row["piece"] * PIECE + len(row["data"])] = np.frombuffer(row["data"], np.uint8)
     return Bloom(bits, log_bits)

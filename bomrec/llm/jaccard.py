@@ -131,15 +131,13 @@ def levels(counts: DataFrame) -> np.ndarray:
 
     def add(group):
         total = np.sum([np.frombuffer(pa.decompress(x, 8 * PIECE, "zstd", asbytes=True), np.int64) for x in group["counts"]], axis=0)
-        return pd.DataFrame({"piece": group["piece"].iloc[:1], "counts": [total.tobytes()]})
+        return pd.DataFrame({"piece": group["piece"].iloc[:1], "counts": [pa.compress(total.tobytes(), codec="zstd", asbytes=True)]})
 
     flat = np.zeros(2 << LOG_COUNTERS, np.int64)
-    halfway = counts.groupBy("piece", (F.spark_partition_id() % 16).alias("part")).applyInPandas(
-        lambda g: pd.DataFrame({"piece": g["piece"].iloc[:1], "counts": [pa.compress(np.sum(
-            [np.frombuffer(pa.decompress(x, 8 * PIECE, "zstd", asbytes=True), np.int64) for x in g["counts"]], axis=0
-        ).tobytes(), codec="zstd", asbytes=True)]}), "piece int, counts binary")
-    for row in halfway.groupBy("piece").applyInPandas(add, "piece int, counts binary").toLocalIterator():
-        flat[row["piece"] * PIECE : (row["piece"] + 1) * PIECE] = np.frombuffer(row["counts"], np.int64)
+    halfway = counts.groupBy("piece", (F.spark_partition_id() % 16).alias("part")).applyInPandas(add, "piece int, counts binary")
+    # One job: fetched partition by partition, each piece would be a job of its own.
+    for row in halfway.groupBy("piece").applyInPandas(add, "piece int, counts binary").collect():
+        flat[row["piece"] * PIECE : (row["piece"] + 1) * PIECE] = np.frombuffer(pa.decompress(row["counts"], 8 * PIECE, "zstd", asbytes=True), np.int64)
     mean = flat.mean()
     return np.clip(np.rint(16 * (flat - mean) / np.sqrt(mean + 1)), -32_000, 32_000).astype(np.int16).reshape(2, -1)
 
@@ -407,7 +405,7 @@ def linked_components(
         if failed is not None:
             pairs = pairs.join(failed, ["a", "b"], "left_anti")
         left = kept(may_link(pairs, classes, rule))
-        needed = kept(left.select(F.col("a").alias("key")).union(left.select("b")).distinct())
+        needed = left.select(F.col("a").alias("key")).union(left.select("b")).distinct()
         n = needed.count()
         if not n:
             continue
