@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+import sys
 from dataclasses import dataclass
+from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +27,7 @@ BLOCK_BYTES = 1 << 20
 JOIN_ROWS, LARGE_GROUP = 1 << 20, 64
 #: Vocabularies up to this size have their best counts broadcast, one row for each id of the first.
 SMALL_VOCABULARY = 1 << 18
-KNOWN_PIECES, KNOWN_LENGTH = 100_000, 64
+KNOWN_PIECES, KNOWN_LENGTH = 400_000, 64
 #: Fixed value: how byte-level vocabularies split texts before merging.
 SPLIT = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 PLAIN = regex.compile("[\t\n\r -~\u00a0-\u017f\u2013\u2014\u2018-\u201e\u2026]*")
@@ -76,38 +80,101 @@ class Loaded:
         self.space = [self.second.piece_to_id("▁")]
         apart = not any(re.search("[^▁]▁", x) for x in inner) and self.second.id_to_piece(self.space[0]) == "▁"
         self.cuts_b = SPACED if apart else None
-        self.known: tuple[dict, dict] = ({}, {})
+        self.known = (Known(self.encode_first), Known(self.encode_second))
+        self.merge = self.merger()
+
+    def merger(self):
+        """A merge of single pieces for vocabularies whose ids are in the order of their merges, or None."""
+        model = json.loads(self.first.to_str())["model"]
+        pairs = (x if isinstance(x, list) else x.split(" ") for x in model["merges"])
+        if any(model["vocab"].get(a + b) != 256 + n for n, (a, b) in enumerate(pairs)):
+            return None
+        import tiktoken
+
+        alphabet = byte_alphabet()
+        ranks = {bytes(alphabet[c] for c in t): i for t, i in model["vocab"].items() if all(c in alphabet for c in t) and i < 256 + len(model["merges"])}
+        return tiktoken.Encoding("pieces", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+    def encode_first(self, pieces: list[str]) -> list[list[int]]:
+        """Pieces of the split rule are merged by themselves; others go through the tokenizer as a whole."""
+        if self.merge is None:
+            return [e.ids for e in self.first.encode_batch_fast(pieces, add_special_tokens=False)]
+        out = [self.merge(p.encode()) if len(p) <= KNOWN_LENGTH else None for p in pieces]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.first.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
+    def encode_second(self, pieces: list[str]) -> list[list[int]]:
+        found = self.second.encode([t[1:] for t in pieces], num_threads=1)
+        return [x if t != " " else self.space for t, x in zip(pieces, found, strict=True)]
 
     def encode(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
         """Token lists of the texts, by the first tokenizer of space + text and by the second of the text.
 
-        Neither tokenizer merges across the places at which texts are cut here, so each distinct piece of a
-        block is encoded once: the first splits texts by the rule in ``SPLIT`` before it merges, which is
-        repeated here for the plain characters whose classes never changed, and the second has no token with a
-        space behind another character. Other texts, such as those that hold the mark for a space, are encoded whole.
+        Neither tokenizer merges across the places at which texts are cut here, so each distinct piece is
+        encoded once: the first splits texts by the rule in ``SPLIT`` before it merges, which is repeated here
+        for the plain characters whose classes never changed, and the second has no token with a space behind
+        another character. Other texts, such as those that hold the mark for a space, are encoded whole.
         """
         plain = [f" {t}" for t in texts.to_pylist()]
-        first = lambda some: [e.ids for e in self.first.encode_batch_fast(some, add_special_tokens=False)]
-        second = lambda some: [x if t != " " else self.space for t, x in zip(some, self.second.encode([t[1:] for t in some], num_threads=1), strict=True)]
-        cut_a = [SPLIT.findall(t) if PLAIN.fullmatch(t) else [t] for t in plain]
-        cut_b = [self.cuts_b.findall(t) if self.cuts_b and "▁" not in t else [t] for t in plain]
-        return _encoded(cut_a, first, self.known[0]), _encoded(cut_b, second, self.known[1])
-
-
-def _encoded(pieces: list[list[str]], encode, known: dict[str, list[int]]) -> pa.Array:
-    """The token lists of texts given in pieces; ``known`` keeps those of short pieces, up to a bounded number."""
-    counts = np.array([len(x) for x in pieces], np.int64)
-    words = pa.array([w for x in pieces for w in x], pa.large_string()).dictionary_encode()
-    distinct = words.dictionary.to_pylist()
-    new = [w for w in distinct if w not in known]
-    found = dict(zip(new, encode(new), strict=True)) if new else {}
-    ids = pa.array([found[w] if w in found else known[w] for w in distinct], pa.list_(pa.int32()))
-    if len(known) + len(found) > KNOWN_PIECES:
-        known.clear()
-    known.update((w, x) for w, x in found.items() if len(w) <= KNOWN_LENGTH)
-    taken = ids.take(words.indices)
-    ends = np.concatenate([[0], np.cumsum(counts)])
-    return pa.ListArray.from_arrays(taken.offsets.take(pa.array(ends)), taken.flatten())
+        known = [PLAIN.fullmatch(t) is not None for t in plain]
+        first = self.known[0].token_lists([SPLIT.findall(t) if k else [] for t, k in zip(plain, known, strict=True)])
+        if not all(known):
+            odd = self.first.encode_batch_fast([t for t, k in zip(plain, known, strict=True) if not k], add_special_tokens=False)
+            rest = (e.ids for e in odd)
+            lists = [x if k else next(rest) for k, x in zip(known, first.to_pylist(), strict=True)]
+            first = pa.array(lists, pa.list_(pa.int32()))
+        cut = [self.cuts_b.findall(t) if self.cuts_b and "▁" not in t else [t] for t in plain]
+        return first, self.known[1].token_lists(cut)
+
+
+class Known:
+    """Token ids of text pieces seen so far: a piece is looked up once for each place where it stands.
+
+    Pieces are numbered; the ids of piece p are ``ids[begin[p] : begin[p] + size[p]]``. Long pieces are
+    forgotten after the block, and all of them when there are too many.
+    """
+
+    def __init__(self, encode) -> None:
+        self.encode = encode
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.begin, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def token_lists(self, pieces: list[list[str]]) -> pa.Array:
+        """The token list of each text, which is given in pieces."""
+        flat = list(chain.from_iterable(pieces))
+        if len(self.number) > KNOWN_PIECES:
+            self.forget()
+        new = list(set(flat).difference(self.number))
+        if new:
+            found = self.encode(new)
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))])
+            self.number.update(zip(new, range(len(self.size) - len(new), len(self.size)), strict=True))
+        at = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
+        size = self.size[at]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.repeat(self.begin[at] - ends[:-1], size) + np.arange(ends[-1])]
+        edges = ends[np.concatenate([[0], np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))])]
+        for piece in new:
+            if len(piece) > KNOWN_LENGTH:
+                del self.number[piece]
+        return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids))
+
+
+def worker_tables(pair: Pair) -> Loaded:
+    """The tokenizers of this worker process, which serves many tasks. Task code comes by value, so its own
+    module cannot hold them."""
+    place = sys.modules.setdefault("bomrec_alignment_held", ModuleType("bomrec_alignment_held"))
+    if getattr(place, "pair", None) != (pair.byte_bpe, pair.pieces):
+        place.tables, place.pair = Loaded(pair), (pair.byte_bpe, pair.pieces)
+    return place.tables
 
 
 def vocabulary_sizes(pair: Pair) -> tuple[int, int]:
@@ -199,11 +266,11 @@ def align_block(texts: pa.Array, tables: Loaded) -> tuple[dict[str, np.ndarray |
     good = spelled(first, tables.bytes_a, data, offsets) & spelled(second, tables.bytes_b, data, offsets)
     mask = pa.array(good)
     first, second = (t.filter(mask.take(t["doc"])) for t in (first, second))
-    common = first.select(["doc", "end"]).join(second.select(["doc", "end"]), ["doc", "end"], join_type="inner", use_threads=False)
-    cut_doc = common["doc"].to_numpy()
-    cut = offsets[cut_doc] + common["end"].to_numpy()
-    order = np.argsort(cut)
-    cut, cut_doc = cut[order], cut_doc[order]
+    # The place of a token's end is its document and byte in one number.
+    ends = [pa.table({"at": pc.add(pc.multiply(t["doc"].cast(pa.int64()), 1 << 40), t["end"])}) for t in (first, second)]
+    common = np.sort(ends[0].join(ends[1], "at", join_type="inner", use_threads=False)["at"].to_numpy())
+    cut_doc = common >> 40
+    cut = offsets[cut_doc] + (common & ((1 << 40) - 1))
     out: dict[str, np.ndarray | list] = {}
     rows = np.flatnonzero(asked.to_numpy(zero_copy_only=False))
     grouped, per_doc = [], []
@@ -263,9 +330,9 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pair:
     longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
 
     def tokenize(batches):
-        block, tables = TaskContext.get().partitionId() << 32, None
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            tables = tables or Loaded(pair)
+            tables = worker_tables(pair)
             _, offsets = text_bytes(batch.column(1))
             for i, j in blocks(offsets, BLOCK_BYTES):
                 n, block = j - i, block + 1
