@@ -443,12 +443,12 @@ def _(spark, sf):
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
-# Aliases are all phrases of one to three words of the benchmark, with their marks and accents; single words of
+# Aliases are all phrases of one to five words of the benchmark, with their marks and accents; single words of
 # seven letters and more. They overlap, and there are more of them than an inline pattern takes.
 _FOLD = "trim(regexp_replace(upper(strip_accents(replace({}, 'ß', 'ss'))), '\\s+', ' ', 'g'))"
 _JOINED = lens.sql(
     "WITH b AS (SELECT item_id, string_split(text, ' ') AS w FROM {benchmark}), p AS (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS i FROM b), "
-    "phrases AS (SELECT array_to_string(w[i:i + k - 1], ' ') AS alias, item_id * 1000000 + i * 3 + k AS ord FROM p, (VALUES (1), (2), (3)) AS ks(k) "
+    "phrases AS (SELECT array_to_string(w[i:i + k - 1], ' ') AS alias, item_id * 1000000 + i * 5 + k AS ord FROM p, (VALUES (1), (2), (3), (4), (5)) AS ks(k) "
     "WHERE i + k - 1 <= len(w) AND (k > 1 OR length(w[i]) >= 7)), "
     f"needles AS (SELECT {_FOLD.format('alias')} AS needle, min(ord) AS ord FROM phrases GROUP BY 1), "
     "al AS (SELECT needle, ord, regexp_extract(needle, '^[^A-Z0-9]*') AS lead, regexp_extract(needle, '[^A-Z0-9]*$') AS tail, "
@@ -485,9 +485,9 @@ def _(spark, sf):
 def _phrases(spark, sf):
     words = lens.frame(spark, sf, "SELECT item_id, split(text, ' ') AS w FROM {benchmark}")
     at = words.select("item_id", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i"))
-    ranks = F.explode(F.array(*[F.lit(k) for k in (1, 2, 3)])).alias("k")
+    ranks = F.explode(F.array(*[F.lit(k) for k in (1, 2, 3, 4, 5)])).alias("k")
     phrases = at.select("item_id", "w", "i", ranks).where((F.col("i") + F.col("k") - 1 <= F.size("w")) & ((F.col("k") > 1) | (F.length(F.get("w", F.col("i") - 1)) >= 7)))
-    return phrases.select(F.array_join(F.slice("w", F.col("i"), F.col("k")), " ").alias("alias"), (F.col("item_id") * 1000000 + F.col("i") * 3 + F.col("k")).alias("ord")).withColumn("value", F.col("alias"))
+    return phrases.select(F.array_join(F.slice("w", F.col("i"), F.col("k")), " ").alias("alias"), (F.col("item_id") * 1000000 + F.col("i") * 5 + F.col("k")).alias("ord")).withColumn("value", F.col("alias"))
 
 
 @query(
