@@ -2,25 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it.
-
-    Only a session without ``spark.checkpoint.dir`` (tests on one machine) gets a folder of its own.
-    """
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    held = context._jsc.sc().getCheckpointDir()
-    if held.isEmpty():
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="bomrec-"))
-        held = context._jsc.sc().getCheckpointDir()
-    return named or held.get()
+from bomrec.session import shared_folder as shared_dir
 
 
 def kept(df: DataFrame) -> DataFrame:
